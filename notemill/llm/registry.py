@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm import bpe, decontaminate, langid, pii, quality_rules, token_table, warc
+from notemill.llm import bpe, decontaminate, langid, ngram_join, pii, quality_rules, token_table, warc
 from notemill.llm.common import scratch, table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -20,6 +20,10 @@ def vocabulary_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.bpe_encode(table(spark, sf_dir, "documents"), vocabulary_file(WORD_BPE), decoded=True)
     return out.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -58,7 +62,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op3_pii, op4_langid, op5_quality_rules, op6_decontaminate, op8_token_table, op9_warc)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_bpe, op3_pii, op4_langid, op5_quality_rules, op6_decontaminate, op8_token_table, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
