@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm import bpe, decontaminate, langid, ngram_join, pii, quality_rules, token_table, warc
+from notemill.llm import bpe, decontaminate, langid, ngram_join, pii, quality_rules, substring_dedup, token_table, warc
 from notemill.llm.common import scratch, table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -51,6 +51,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_table.write_token_table(table(spark, sf_dir, "documents"), vocabulary_file(BYTE_BPE), scratch(spark, "tokens"))
     return token_table.read_token_table(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -62,7 +67,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_bpe, op3_pii, op4_langid, op5_quality_rules, op6_decontaminate, op8_token_table, op9_warc)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_bpe, op3_pii, op4_langid, op5_quality_rules, op6_decontaminate, op7_substring_dedup, op8_token_table, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
