@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm import bpe, decontaminate, langid, ngram_join, pii, quality_rules, substring_dedup, token_table, warc
+from notemill.llm import bpe, decontaminate, langid, ngram_join, pii, quality_classifier, quality_rules, substring_dedup, token_table, warc
 from notemill.llm.common import scratch, table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -66,8 +66,20 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(manifest).drop("payload", "url")
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``corpus_pipeline.run``, with digests instead of ids and texts."""
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, sf_dir)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_bpe, op3_pii, op4_langid, op5_quality_rules, op6_decontaminate, op7_substring_dedup, op8_token_table, op9_warc)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_bpe, op3_pii, op4_langid, op5_quality_rules, op6_decontaminate, op7_substring_dedup, op8_token_table, op9_warc, op10_quality_classifier, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
