@@ -1,9 +1,19 @@
 """All queries by name, and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from importlib import import_module
 
+from notemill.plans.base import QUERIES, SQL
 
-def oracle_sql():
-    return {}
+MODULES = ["text_plans"]
+for _name in MODULES:
+    import_module(f"notemill.plans.{_name}")
+
+
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
