@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from notemill.functions import fixed
 
@@ -23,7 +24,7 @@ def any_of(words: list[str]) -> str:
     return "|".join(re.escape(w) for w in words)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(texts):
     import unicodedata
 
@@ -148,3 +149,32 @@ def title_case(text: Column) -> Column:
     """Capital after every character that is no letter."""
     parts = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}]+|[^\p{L}]+"), F.lit(0))
     return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 2**31 - 1))), "")
+
+
+def spans(text: Column, pattern: str, group: int = 0) -> Column:
+    """``array<struct<start, end, value>>`` of all matches of a pattern; positions are code points from 0.
+
+    Splitting and extracting walk through the same matches, so a match starts after all gaps and
+    matches before it. With a group, its first place inside the match counts.
+    """
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def place(values: Column) -> Column:
+        gaps = F.transform(F.split(text, pattern, -1), F.length)
+        sizes = F.zip_with(F.slice(let(gaps, lambda g: g), 1, F.size(values)), F.transform(values, F.length), lambda g, v: F.struct(g.alias("g"), v.alias("v")))
+        start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(sizes, start, lambda s, x: F.struct((s["end"] + x["g"] + x["v"]).alias("end"), F.concat(s["starts"], F.array(s["end"] + x["g"])).alias("starts")), lambda s: s["starts"])
+
+        def one(s: Column, v: Column) -> Column:
+            inner = F.regexp_extract(v, pattern, group) if group else v
+            at = s + (F.instr(v, inner) - 1 if group else F.lit(0))
+            return F.struct(at.alias("start"), (at + F.length(inner)).alias("end"), inner.alias("value"))
+
+        return F.zip_with(starts, values, one)
+
+    return let(found, lambda values: F.when(F.size(values) > 0, place(values)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>")))
+
+
+def word_hit(phrase: str) -> str:
+    """Pattern of a phrase between characters that are part of no word, in every engine."""
+    return rf"(^|[^\p{{L}}\p{{N}}_]){re.escape(phrase)}([^\p{{L}}\p{{N}}_]|$)"
