@@ -107,7 +107,7 @@ def iso_date(value: Column, epoch: Column) -> Column:
     dom = F.regexp_extract(low, r"(\d{1,2})", 1).try_cast("int")
     this = F.try_to_date(F.format_string("%04d-%02d-%02d", F.year(day), number_of, dom))
     out = out.when(month != "", F.when(this < day, F.add_months(this, 12)).otherwise(this))
-    return F.date_format(F.coalesce(out, F.try_to_date(low, F.lit("yyyy-MM-dd"))), "yyyy-MM-dd")
+    return F.date_format(F.coalesce(out, F.try_to_date(low, "yyyy-MM-dd")), "yyyy-MM-dd")
 
 
 def dates(notes: DataFrame, body: str = "raw_transcript", epoch: str = "created_epoch") -> DataFrame:
@@ -220,15 +220,21 @@ def first_sentences(body: Column, most_words: int = 36) -> Column:
     def cue(words: list[str]) -> str:
         return rf"(?i)\b(?:{any_of(words)})\b"
 
+    def first(s: Column, words: list[str], skip: Column) -> Column:
+        return F.array_position(F.transform(s, lambda x, i: x.rlike(cue(words)) & (i + 1 != skip)), F.lit(True)).cast("int")
+
+    def rest(s: Column, d: Column, e: Column) -> Column:
+        left = F.filter(s, lambda x, i: (i + 1 != d) & (i + 1 != e))
+        source = let(left, lambda x: F.when(F.size(x) > 0, F.array_join(x, " ")).otherwise(F.trim(body)))
+        cut = lambda t: let(F.filter(F.split(t, r"\s+"), lambda w: w != ""), lambda w: F.when(F.size(w) <= most_words, F.trim(t)).otherwise(F.concat(F.array_join(F.slice(w, 1, most_words), " "), F.lit("…"))))
+        pick = lambda n: F.when(n > 0, F.get(s, n - 1)).otherwise("")
+        return F.struct(pick(d).alias("definition"), pick(e).alias("example"), let(source, cut).alias("summary"))
+
+    def examples(s: Column, d: Column) -> Column:
+        found = let(first(s, fixed.STRONG_EXAMPLES, d), lambda n: F.when(n > 0, n).otherwise(first(s, fixed.WEAK_EXAMPLES, d)))
+        return let(found, lambda e: rest(s, d, e))
+
     def of(s: Column) -> Column:
-        first = lambda p, skip: F.array_position(F.transform(s, lambda x, i: x.rlike(cue(p)) & (i + 1 != skip)), F.lit(True))
-        d = first(fixed.DEFINITION_CUES, F.lit(0))
-        strong, weak = first(fixed.STRONG_EXAMPLES, d), first(fixed.WEAK_EXAMPLES, d)
-        e = F.when(strong > 0, strong).otherwise(weak)
-        rest = F.filter(s, lambda x, i: (i + 1 != d) & (i + 1 != e))
-        source = F.when(F.size(rest) > 0, F.array_join(rest, " ")).otherwise(F.trim(body))
-        words = F.filter(F.split(source, r"\s+"), lambda w: w != "")
-        short = F.when(F.size(words) <= most_words, F.trim(source)).otherwise(F.concat(F.array_join(F.slice(words, 1, most_words), " "), F.lit("…")))
-        return F.struct(F.when(d > 0, F.get(s, (d - 1).cast("int"))).otherwise("").alias("definition"), F.when(e > 0, F.get(s, (e - 1).cast("int"))).otherwise("").alias("example"), short.alias("summary"))
+        return let(first(s, fixed.DEFINITION_CUES, F.lit(0)), lambda d: examples(s, d))
 
     return let(sentences(body), of)
