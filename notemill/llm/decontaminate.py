@@ -4,8 +4,8 @@ Steps, all column expressions and joins:
 
 1. Windows. A window has the size of a benchmark item, in words. A window can only be
    similar to an item if they share a shingle (``SHINGLE`` words), so windows are laid where a
-   document's shingle occurs in an item, at the offset it has there. This leaves no
-   similar text without a window and skips all the others.
+   document's shingle occurs in an item, at the offset it has there and up to one
+   ``SHIFT``-th of the item's size to either side; a window further off has lost too many shingles.
 2. Fingerprints. SimHash of ``BITS`` bits over the weighted words of window and item.
 3. Candidates. ``BLOCKS`` blocks of the fingerprint are join keys, together with the
    window's size. Fingerprints that differ in at most ``RADIUS = BLOCKS - 1`` bits agree on a
@@ -33,6 +33,7 @@ from notemill.llm.common import let, small
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, BLOCKS = 64, 16
 RADIUS = BLOCKS - 1
+SHIFT = 9
 BROADCAST_BYTES = 16 << 20
 
 
@@ -101,8 +102,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = SIM
     split = docs.select(F.col(f"`{key}`").alias("k"), words_of(F.col(text)).alias("words"))
     seen = split.select("k", "words", F.posexplode(shingles(F.col("words"))).alias("pos", "shingle"))
     hits = seen.join(fitting(places, 100), "shingle").select("k", "words", "pos", F.explode("places").alias("p"))
-    start = F.greatest(F.least(F.col("pos") - F.col("p.offset"), F.size("words") - F.col("p.n")), F.lit(0))
-    windows = hits.select("k", start.alias("start"), F.col("p.n").alias("n"), F.slice("words", start + 1, F.col("p.n")).alias("window")).groupBy("k", "start", "n").agg(F.first("window").alias("window"))
+    aligned = hits.select("k", "words", F.col("p.n").alias("n"), (F.col("pos") - F.col("p.offset")).alias("at"), (1 + F.floor(F.col("p.n") / SHIFT)).cast("int").alias("d"))
+    last = F.greatest(F.size("words") - F.col("n"), F.lit(0))
+    low, high = F.least(F.greatest(F.col("at") - F.col("d"), F.lit(0)), last), F.least(F.greatest(F.col("at") + F.col("d"), F.lit(0)), last)
+    around = aligned.select("k", "n", low.alias("low"), high.alias("high"), F.slice("words", low + 1, high - low + F.col("n")).alias("near")).groupBy("k", "n", "low", "high").agg(F.first("near").alias("near"))
+    windows = around.select("k", "n", "low", "near", F.explode(F.sequence("low", "high")).alias("start")).select("k", "start", "n", F.slice("near", F.col("start") - F.col("low") + 1, F.col("n")).alias("window"))
 
     prints = windows.withColumn("wprint", simhash(F.col("window"))).withColumn("b", F.explode(blocks(F.col("wprint"))))
     index = items.withColumn("b", F.explode(blocks(F.col("print")))).select("item_id", F.col("n").alias("m"), "print", F.col("words").alias("item"), F.col("b").alias("c"))

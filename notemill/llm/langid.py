@@ -98,9 +98,10 @@ def decide(text: str | None, model: LanguageModel, margin: float = MARGIN) -> tu
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", margin: float = MARGIN) -> DataFrame:
     """``docs`` with ``lang_pred string, lang_score double, lang_rejected boolean``; the inputs are the texts alone."""
-    text_at = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_LANGUAGES * DICT_BYTES
 
+    docs = docs.drop("lang_pred", "lang_score", "lang_rejected")  # columns of these names are replaced
+    text_at = docs.columns.index(text)
     names, kinds = [f"c{i}" for i in range(len(docs.columns))], [f.dataType.simpleString() for f in docs.schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

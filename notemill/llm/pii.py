@@ -129,6 +129,7 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Added kinds hold spans of ``KEEP`` or more that overlap no base span.
     """
+    docs = docs.drop(*[f"pii_{k}" for k in BASE_KINDS + ADDED_KINDS])  # columns of these names are replaced
     whole = F.coalesce(F.col(text), F.lit(""))
     out = docs.select("*", *[spans_of(k, whole).alias(f"pii_{k}") for k in BASE_KINDS + ADDED_KINDS])
     base = F.flatten(F.array(*[F.col(f"pii_{k}") for k in BASE_KINDS]))

@@ -187,7 +187,7 @@ class Shard:
 
 def read_document(manifest: DataFrame, key: int) -> list[list[int]]:
     """Ids of the rows with this key, read from the shards that can hold it. For looking at single documents."""
-    return [np.frombuffer(x, "<u4").tolist() for row in manifest.where(F.lit(key).between(F.col("first_key"), F.col("last_key"))).collect() for x in Shard(row.path).find(key)]
+    return [np.frombuffer(x, "<u4").tolist() for row in manifest.where((F.coalesce("first_key", F.lit(key)) <= key) & (F.col("last_key") >= key)).collect() for x in Shard(row.path).find(key)]
 
 
 def write_token_table(docs: DataFrame, path: str, folder: str, end_id: int = 0, n_shards: int | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
