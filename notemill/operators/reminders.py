@@ -119,17 +119,19 @@ def sequence_ratio(a, b):
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def match_names(names: DataFrame, known: DataFrame, cutoff: float) -> DataFrame:
+def match_names(names: DataFrame, known: DataFrame, cutoff: float, other: bool = False) -> DataFrame:
     """Best known name of each name by ratio, exact ones first: ``name, match, ratio``.
 
     ``known`` names are blocked by shared letter pairs at the start or the end, and pairs whose lengths
-    rule the cutoff out are dropped before the ratio is taken.
+    rule the cutoff out are dropped before the ratio is taken. ``other`` leaves equal names out.
     """
 
     def blocks(c: str) -> Column:
         return F.explode(F.array_distinct(F.array(F.concat(F.lit("<"), F.substring(c, 1, 2)), F.concat(F.lit(">"), F.right(F.col(c), F.lit(2))))))
 
     pairs = names.select("name", blocks("name").alias("b")).join(known.select(F.col("name").alias("match"), blocks("name").alias("b")), "b").select("name", "match").distinct()
+    if other:
+        pairs = pairs.where("name <> match")
     n, m = F.length("name"), F.length("match")
     pairs = pairs.where(2 * F.least(n, m) >= cutoff * (n + m)).withColumn("ratio", sequence_ratio(F.col("match"), F.col("name"))).where(F.col("ratio") >= cutoff)
     order = Window.partitionBy("name").orderBy(F.desc("ratio"), "match")
@@ -139,9 +141,8 @@ def match_names(names: DataFrame, known: DataFrame, cutoff: float) -> DataFrame:
 def resolve_contacts(mentions: DataFrame, cutoff: float, components) -> DataFrame:
     """``name, contact``: mentions of one person share the smallest of their names."""
     keys = mentions.select(normalize_name(F.col("name")).alias("name")).where("name <> ''").distinct()
-    other = keys.select(F.col("name"))
-    near = match_names(keys, other.where(F.length("name") > 0), cutoff)
-    links = near.where("name <> match").select(F.col("name").alias("a"), F.col("match").alias("b"))
+    near = match_names(keys, keys.select(F.col("name")), cutoff, other=True)
+    links = near.select(F.col("name").alias("a"), F.col("match").alias("b"))
     return keys.join(components(links), keys["name"] == F.col("v"), "left").select("name", F.coalesce("label", "name").alias("contact"))
 
 
