@@ -7,11 +7,11 @@ cross documents.
 1. Equal texts. A document whose whole text has a smaller key elsewhere goes entirely (from ``LEAST``
    bytes on) and is left out below: whatever it holds starts in the smaller document too.
 2. Anchors. In every string of ``LEAST`` bytes the k-gram with the least hash is its anchor. Equal
-   strings have equal anchors, so only anchors in two documents or more matter. This is a
-   filter without loss: all later steps see every string with such an anchor.
+   strings have equal anchors, so only anchors in two documents or more matter. A Bloom filter over
+   them, of bounded size, goes to the tasks; it only spares work: anchors that pass it without need match nothing.
 3. Shards. An anchor's context is all strings it can be the anchor of, ``2 * LEAST - KGRAM`` bytes. Contexts are
    shuffled by anchor and sorted by it. Tasks take them in pieces of about ``PIECE_BYTES``, so a
-   shard may be much larger than memory; the different contexts of a piece are joined into one
+   shard may be much larger than memory; those different contexts of a piece that share an anchor are joined into one
    text and their suffixes sorted by induction (``induced``), with run queues on disk
    and the common prefix of each suffix with the one before. Neighbours with ``LEAST``
    symbols in common are one string; the least key among its documents decides.
@@ -41,8 +41,10 @@ LEAST, KGRAM = 50, 16
 #: K-grams of one string.
 REACH = LEAST - KGRAM + 1
 HOT = 5000
-PIECE_BYTES = 8 << 20
-BROADCAST_BYTES = 64 << 20
+PIECE_BYTES = 3 << 20
+BROADCAST_BYTES = 24 << 20
+#: Bits of the filter over repeated anchors: ten for each, between these bounds.
+FILTER_BITS = (1 << 16, 1 << 28)
 #: Bits of a hash that order k-grams; the place breaks ties, to the left.
 ORDER_BITS = 36
 
@@ -94,12 +96,35 @@ def anchor_counts(docs: DataFrame) -> DataFrame:
     return docs.select("k", "t").mapInArrow(run, "m long, c long")
 
 
-def contexts(docs: DataFrame) -> DataFrame:
-    """``m, k, lo, ctx``: each anchor's context and where in the document it starts."""
+def filter_of(repeated: DataFrame) -> np.ndarray:
+    """Bloom filter over ``rm``, two bits an anchor, as 64-bit words; its size has a fixed bound."""
+    wanted = 10 * repeated.count()
+    bits = FILTER_BITS[0]
+    while bits < min(wanted, FILTER_BITS[1]):
+        bits *= 2
+    place = F.explode(F.array(F.col("rm").bitwiseAND(bits - 1), F.shiftrightunsigned("rm", 32).bitwiseAND(bits - 1)))
+    words = repeated.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS int))")).alias("x"))
+    out = np.zeros(bits // 64, np.int64)
+    for part in words.toArrow().to_batches():
+        out[part.column(0).to_numpy()] = part.column(1).to_numpy()
+    return out.view(np.uint64)
+
+
+def contexts(docs: DataFrame, words: np.ndarray) -> DataFrame:
+    """``m, k, lo, ctx``: context of each anchor that may be repeated, and where in the document it starts."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def may(h: np.ndarray) -> np.ndarray:
+        held, last = shared.value, np.uint64(len(shared.value) * 64 - 1)
+        a, b = h & last, (h >> np.uint64(32)) & last
+        hit = lambda p: held[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)
+        return (hit(a) & hit(b)).astype(bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in steps(batches, "t", 1 << 20):
             of, place, h = anchors(texts)
+            use = may(h)
+            of, place, h = of[use], place[use], h[use]
             if len(of):
                 lo = np.maximum(place - (REACH - 1), texts.at[of])
                 hi = np.minimum(place + LEAST, texts.at[of + 1])
@@ -111,25 +136,34 @@ def contexts(docs: DataFrame) -> DataFrame:
     return docs.select("k", "t").mapInArrow(run, "m long, k long, lo long, ctx binary")
 
 
-def repeated_spans(keys: np.ndarray, lo: np.ndarray, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key, start and end of each run of strings in these contexts that a smaller key has too."""
+def repeated_spans(marks: np.ndarray, keys: np.ndarray, lo: np.ndarray, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, start and end of each run of strings in these contexts that a smaller key has too.
+
+    A context without a different one of the same anchor needs no sorting: its strings occur where it does.
+    """
+    never = np.iinfo(np.int64).max
     kinds, index = distinct(texts)
     sizes = np.fromiter(map(len, kinds), np.int64, len(kinds))
-    least = np.full(len(kinds), np.iinfo(np.int64).max)
+    least = np.full(len(kinds), never)
     np.minimum.at(least, index, keys)
-    joined = np.frombuffer(b"".join(kinds), np.uint8)
+    pairs = np.unique(np.stack([np.unique(marks, return_inverse=True)[1], index]), axis=1)
+    several = np.zeros(len(kinds), bool)
+    several[pairs[1, np.bincount(pairs[0])[pairs[0]] > 1]] = True
     base = np.cumsum(sizes + 1) - (sizes + 1)
-    text = np.zeros(int((sizes + 1).sum()), np.uint16)
-    text[spread(base, sizes)] = joined.astype(np.uint16) + 1
-    of = np.repeat(np.arange(len(kinds)), sizes + 1)
-    order, lcp = suffix_order(text, LEAST)
-    group = np.cumsum(lcp < LEAST) - 1
-    found = np.full(int(group[-1]) + 1 if len(group) else 0, np.iinfo(np.int64).max)
-    fits = np.arange(len(text)) - base[of] + LEAST <= sizes[of]
-    use = fits[order]
-    np.minimum.at(found, group[use], least[of[order[use]]])
-    first_key = np.full(len(text), np.iinfo(np.int64).max)
-    first_key[order[use]] = found[group[use]]
+    first_key = np.repeat(least, sizes + 1)
+    if several.any():
+        some, size = np.flatnonzero(several), sizes[several]
+        start = np.cumsum(size + 1) - (size + 1)
+        text = np.zeros(int((size + 1).sum()), np.uint16)
+        text[spread(start, size)] = np.frombuffer(b"".join(kinds[i] for i in some), np.uint8).astype(np.uint16) + 1
+        order, lcp = suffix_order(text, LEAST)
+        of = np.repeat(np.arange(len(some)), size + 1)
+        group = np.cumsum(lcp < LEAST) - 1
+        found = np.full(int(group[-1]) + 1, never)
+        use = (np.arange(len(text)) - start[of] + LEAST <= size[of])[order]
+        group, order = group[use], order[use]
+        np.minimum.at(found, group, least[some[of[order]]])
+        first_key[base[some[of[order]]] + order - start[of[order]]] = found[group]
     # each place has the strings of its context
     strings = np.maximum(sizes[index] - LEAST + 1, 0)
     offset = spread(np.zeros(len(index), np.int64), strings)
@@ -148,7 +182,7 @@ def sorted_spans(ordered: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def judged(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             rows = pa.Table.from_batches(parts)
-            k, a, b = repeated_spans(rows.column("k").to_numpy(), rows.column("lo").to_numpy(), text_view(rows.column("ctx")))
+            k, a, b = repeated_spans(rows.column("m").to_numpy(), rows.column("k").to_numpy(), rows.column("lo").to_numpy(), text_view(rows.column("ctx")))
             return pa.RecordBatch.from_arrays([pa.array(k), pa.array(a), pa.array(b)], names=["k", "a", "b"])
 
         held: list[pa.RecordBatch] = []
@@ -198,10 +232,9 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     firsts = marked.where("k IS NOT NULL").join(copies, (F.col("k") == F.col("ck")) & (F.col("h") == F.col("ch")), "left_anti").select("k", "t")
 
     repeated = stash(anchor_counts(firsts).groupBy("m").agg(F.count("*").alias("n"), F.sum("c").alias("places")).where("n > 1").select(F.col("m").alias("rm"), (F.col("places") > HOT).alias("hot")), "anchors")
-    often = fitting(repeated.where("hot").select("rm"), 16)
-    usual = fitting(repeated.where("NOT hot").select("rm"), 16)
-    found = contexts(firsts)
-    ordered = found.join(usual, F.col("m") == F.col("rm")).repartition("m").sortWithinPartitions("m")
+    often = fitting(stash(repeated.where("hot").select("rm"), "often"), 100)
+    found = contexts(firsts, filter_of(repeated))
+    ordered = found.join(often, F.col("m") == F.col("rm"), "left_anti").repartition("m").sortWithinPartitions("m")
     spans = sorted_spans(ordered).unionByName(hot_spans(found.join(often, F.col("m") == F.col("rm"))))
     spans = stash(spans.groupBy("k").agg(F.collect_list(F.shiftleft(F.col("a"), 32).bitwiseOR(F.col("b"))).alias("spans")).withColumnRenamed("k", "sk"), "spans")
     spans = fitting(spans, 400)
