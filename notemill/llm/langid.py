@@ -36,6 +36,7 @@ MOST_LANGUAGES = 100
 MARGIN, MIN_BYTES = 0.002, 64
 #: How fast the score rises with the runner-up's relative size.
 SHARPNESS = 40.0
+#: Letters, and a few numerals that the second test leaves out.
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -84,7 +85,7 @@ def compressors(model: LanguageModel) -> list[zstandard.ZstdCompressor]:
 
 def decide(text: str | None, model: LanguageModel, margin: float = MARGIN) -> tuple[str, float, bool]:
     """Language, score and whether it is rejected."""
-    if text is None or not model.dictionaries or not LETTER.search(text):
+    if text is None or not model.dictionaries or not any(m[0].isalpha() for m in LETTER.finditer(text)):
         return "und", 0.0, True
     raw = text.lower().encode()
     pieces = [raw[i : i + PIECE_BYTES] for i in range(0, len(raw), PIECE_BYTES)]

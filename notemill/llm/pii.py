@@ -41,6 +41,7 @@ PATTERNS = {
 }
 #: What a text must contain at least for the pattern to be tried.
 NEEDS = {"email": "@", "phone": "+", "tel": "+"}
+LIKELY = {"ip": r"[0-9]\.[0-9]", "card": "[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "account": "[0-9]{12}", "secret": "[0-9]|AKIA|[A-Fa-f]{16}"}
 #: Score of a confirmed match before its context, per kind; and what context adds.
 SCORES = {"email": 0.9, "ip": 0.8, "card": 0.9, "phone": 0.8, "iban": 0.9, "account": 0.4, "tel": 0.7, "secret": 0.4}
 CONTEXT, BONUS, KEEP = 32, 0.4, 0.6
@@ -112,7 +113,7 @@ def confirmed(kind: str, value: Column) -> Column:
 def spans_of(kind: str, text: Column) -> Column:
     """``array<struct<kind, start, end, value, score>>`` of the confirmed matches of one kind."""
     none = F.array().cast("array<struct<start:int,value:string>>")
-    need = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike("[0-9]{2}" if kind in ("card", "account", "iban", "secret") else r"[0-9]\.[0-9]")
+    need = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike(LIKELY[kind])
     kept = F.filter(F.when(need, matches(text, PATTERNS[kind])).otherwise(none), lambda m: confirmed(kind, m["value"]))
 
     def scored(m: Column) -> Column:

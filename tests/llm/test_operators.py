@@ -157,7 +157,7 @@ def brute_pii(t):
 
 def test_pii_base_spans(spark, docs, awkward):
     r = random.Random(2)
-    texts = [t for _, t in awkward] + ["".join(r.choice("0123456789  --..@@++()ab_%é") for _ in range(r.randint(0, 80))) for _ in range(500)] + ["x.y@z.q_d@e.f@g.h", "a" * 30_000 + "@b.c", "1.1." * 2_000, "a@b" + ".c" * 4_000]
+    texts = [t for _, t in awkward] + ["".join(r.choice("0123456789  --..@@++()ab_%é") for _ in range(r.randint(0, 80))) for _ in range(500)] + ["x.y@z.q_d@e.f@g.h", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "a" * 30_000 + "@b.c", "1.1." * 2_000, "a@b" + ".c" * 4_000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {x.doc_id: x.b for x in pii.find_pii(df).select("doc_id", pii.joined(pii.BASE_KINDS).alias("b")).collect()}
     assert [got[i] for i in range(len(texts))] == [brute_pii(t) for t in texts]
@@ -179,7 +179,7 @@ def test_language_by_compression(spark):
     rows = [(i, " ".join(word(syllables[lang]) for _ in range(r.randint(20, 120))), lang) for i in range(300) for lang in [r.choice(list(syllables))]]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(df.where(~langid.held_out(F.col("doc_id"))))
-    more = spark.createDataFrame([(1000, None, "xx", "old"), (1001, "123 !", None, "old"), (1002, "", "yy", "old")], "doc_id long, text string, lang string, lang_pred string")
+    more = spark.createDataFrame([(1000, None, "xx", "old"), (1001, "123 ²½ !", None, "old"), (1002, "", "yy", "old")], "doc_id long, text string, lang string, lang_pred string")
     out = langid.identify(df.withColumn("lang_pred", F.lit("old")).unionByName(more), model).collect()
     held = [x for x in out if x.doc_id < 1000 and zlib.crc32(str(x.doc_id).encode()) % 4 == 2]
     assert len(held) > 50 and sum(x.lang == x.lang_pred for x in held) >= 0.98 * len(held)
