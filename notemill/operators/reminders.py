@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from notemill.functions import fixed
 from notemill.functions.text import any_of
@@ -12,28 +12,48 @@ from notemill.functions.text import any_of
 DEADLINE_BONUS, NO_SPAN, GATE = 40.0, 10_000.0, 0.60
 
 
-def pair_tasks(tasks: DataFrame, dates: DataFrame, rounds: int = 20) -> DataFrame:
+def pair_tasks(tasks: DataFrame, dates: DataFrame) -> DataFrame:
     """One date at most per task and the other way round, nearest first: ``note_id, task, date``.
 
-    Each round keeps pairs that are the best for both sides; rounds are as many as a note has
-    tasks that compete, and the loop ends when nothing is left.
+    Pairs of a note are taken in the order of distance, task and date until its tasks or dates are used up.
+    A task holds all of one note's tasks and dates, which its text bounds; their distances are never rows.
     """
     mid = (F.col("start") + F.col("end")) / 2
-    t = tasks.select("note_id", F.col("value").alias("task"), mid.alias("tm"))
-    d = dates.select("note_id", F.struct("start", "value").alias("date"), mid.alias("dm"), "kind")
-    distance = F.coalesce(F.abs(F.col("dm") - F.col("tm")) - F.when(F.col("kind") == "deadline", DEADLINE_BONUS).otherwise(0.0), F.lit(NO_SPAN))
-    left = t.join(d, "note_id").select("note_id", "task", "date", distance.alias("distance"))
-    out = None
-    for _ in range(rounds):
-        by_task = Window.partitionBy("note_id", "task").orderBy("distance", "date")
-        by_date = Window.partitionBy("note_id", "date").orderBy("distance", "task")
-        ranked = left.withColumn("a", F.row_number().over(by_task)).withColumn("b", F.row_number().over(by_date)).cache()
-        won = ranked.where("a = 1 AND b = 1").select("note_id", "task", "date")
-        out = won if out is None else out.unionByName(won)
-        left = ranked.join(won.select("note_id", "task"), ["note_id", "task"], "left_anti").join(won.select("note_id", "date"), ["note_id", "date"], "left_anti").select("note_id", "task", "date", "distance")
-        if left.isEmpty():
-            break
-    return out.select("note_id", "task", F.col("date.value").alias("date"), F.col("date.start").alias("date_start"))
+    t = tasks.groupBy("note_id").agg(F.array_sort(F.collect_list(F.struct(F.col("value").alias("task"), mid.alias("tm")))).alias("t"))
+    bonus = F.when(F.col("kind") == "deadline", DEADLINE_BONUS).otherwise(0.0).alias("bonus")
+    d = dates.groupBy("note_id").agg(F.array_sort(F.collect_list(F.struct("start", "value", mid.alias("dm"), bonus))).alias("d"))
+    both = t.join(d, "note_id").select("note_id", "t.task", "t.tm", F.col("d.start").alias("date_start"), F.col("d.value").alias("date"), "d.dm", "d.bonus")
+    types = {f.name: f.dataType for f in both.schema}
+    schema = StructType([both.schema["note_id"], StructField("task", types["task"].elementType), StructField("date", types["date"].elementType), StructField("date_start", types["date_start"].elementType)])
+
+    def assign(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                tm, dm = np.array(row["tm"], dtype="float64"), np.array(row["dm"], dtype="float64")
+                distance = np.abs(dm - tm[:, None]) - np.array(row["bonus"])
+                distance[np.isnan(distance)] = NO_SPAN
+                done, taken, most = set(), set(), min(len(tm), len(dm))
+                for i in np.argsort(distance, axis=None, kind="stable"):
+                    a, b = divmod(int(i), len(dm))
+                    task, date = row["task"][a], (row["date_start"][b], row["date"][b])
+                    if task in done or date in taken:
+                        continue
+                    done.add(task)
+                    taken.add(date)
+                    out.append((row["note_id"], task, date[1], date[0]))
+                    if len(done) == most:
+                        break
+            columns = zip(*out, strict=True) if out else ([],) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=schema.names)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = list(to_arrow_schema(schema).types)
+    return both.mapInArrow(assign, schema)
 
 
 def detect(tasks: DataFrame, dates: DataFrame, gate: float = GATE) -> DataFrame:
