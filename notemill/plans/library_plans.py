@@ -101,7 +101,7 @@ def m03(spark, sf_dir):
 @query("n12_group_themes")
 def n12(spark, sf_dir):
     """Shares of the themes of each note add up to one."""
-    themes = tk.group_themes(tk.candidate_terms(tk.tokens(notes(spark, sf_dir))))
+    themes = tk.extract_themes(notes(spark, sf_dir), by_length=False)
     return themes.groupBy("note_id").agg(F.count("*").alias("themes"), F.bround(F.sum("weight"), 6).alias("total"))
 
 

@@ -96,11 +96,11 @@ def n11(spark, sf_dir):
 
 @query("n13_extract_themes")
 def n13(spark, sf_dir):
-    """N12 over the terms of N11."""
-    return tk.group_themes(tk.candidate_terms(note_tokens(spark, sf_dir)))
+    """N12 over the terms of N11, with themes and topics by the length of the note."""
+    return tk.extract_themes(notes(spark, sf_dir))
 
 
 @query("n14_theme_density")
 def n14(spark, sf_dir):
-    words = note_tokens(spark, sf_dir)
-    return tk.theme_density(tk.group_themes(tk.candidate_terms(words)), words)
+    base = notes(spark, sf_dir)
+    return tk.theme_density(tk.extract_themes(base), tk.text_sizes(base))

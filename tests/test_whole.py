@@ -1,6 +1,6 @@
 """Cases that cuts would lose: many tasks in a note, long notes, names with other first letters."""
 
-from notemill.operators import reminders
+from notemill.operators import reminders, tokens
 
 
 def greedy(tasks, dates):
@@ -25,3 +25,40 @@ def test_all_tasks_get_a_date(spark):
         got[r.note_id][r.task] = (r.date, r.date_start)
     assert got == {n: greedy(*both) for n, both in first.items()}
     assert len(got[1]) == 50 and len(got[2]) == 30
+
+
+def plain_themes(scored, most_themes, most_topics):
+    """The reference's fold, theme by theme."""
+    themes = []
+    for term, score in sorted(scored.items(), key=lambda x: (-x[1], x[0])):
+        words = set(term.split())
+        home = next((t for t in themes if t[3] & words), None)
+        if home is None and len(themes) < most_themes:
+            home = [term, 0.0, [], set()]
+            themes.append(home)
+        if home:
+            home[1] += score
+            home[2].append(term)
+            home[3] |= words
+    total, left, out = sum(t[1] for t in themes), most_topics, {}
+    for name, weight, topics, _ in sorted(themes, key=lambda t: -round(t[1] / total, 4)):
+        share = max(1, round(left * round(weight / total, 4))) if left > 0 else 1
+        topics = topics[: max(1, min(share, left or 1))]
+        left = max(0, left - len(topics))
+        out[name] = (round(weight / total, 9), topics)
+    return out
+
+
+def test_themes_of_short_and_long_notes(spark):
+    short = "kernel swaps pages while kernel threads wait and pages fault " * 5
+    long = " ".join(f"word{i * i % 211} thing{i % 97} matter{i % 13}" for i in range(1500))
+    notes = spark.createDataFrame([(1, short), (2, long), (3, "")], "note_id long, raw_transcript string")
+    scored = {}
+    for r in tokens.candidate_terms(tokens.tokens(notes)).collect():
+        scored.setdefault(r.note_id, {})[r.term] = r.score
+    got, grouped = {}, {}
+    for out, table in ((got, tokens.extract_themes(notes)), (grouped, tokens.group_themes(tokens.candidate_terms(tokens.tokens(notes)), sizes=tokens.text_sizes(notes)))):
+        for r in table.collect():
+            out.setdefault(r.note_id, {})[r.theme] = (round(r.weight, 9), r.topics)
+    assert got == grouped == {1: plain_themes(scored[1], 1, 1), 2: plain_themes(scored[2], 9, 125)}
+    assert len(scored[2]) > 60 and sum(len(t) for _, t in got[2].values()) > 60
