@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -139,17 +141,46 @@ def sequence_ratio(a, b):
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def least_shared(n: int, m: int, cutoff: float) -> int:
+    """Fewest characters that strings of ``n`` and ``m`` share in order if their ratio reaches the cutoff."""
+    return math.ceil(cutoff * (n + m) / 2 - 1e-9)
+
+
+def partners(n: int, cutoff: float) -> list[int]:
+    """Lengths that a string of length ``n`` can reach the cutoff with."""
+    return [m for m in range(1, math.floor(n * (2 - cutoff) / cutoff + 1e-9) + 1) if least_shared(n, m, cutoff) <= min(n, m)]
+
+
+def pieces(n: int, m: int, cutoff: float) -> list[tuple[int, int]]:
+    """Start and end of parts of a known name of length ``m``, one more than there are characters to drop or add."""
+    k = n + m - 2 * least_shared(n, m, cutoff) + 1
+    return [(m * j // k, m * (j + 1) // k) for j in range(k)]
+
+
 def match_names(names: DataFrame, known: DataFrame, cutoff: float, other: bool = False) -> DataFrame:
     """Best known name of each name by ratio, exact ones first: ``name, match, ratio``.
 
-    ``known`` names are blocked by shared letter pairs at the start or the end, and pairs whose lengths
-    rule the cutoff out are dropped before the ratio is taken. ``other`` leaves equal names out.
+    At the cutoff a pair differs by so many dropped or added characters at most; a known name cut into one part
+    more has a part that the other name holds unchanged, moved no further than those characters allow. Parts are
+    the join key, so no pair at the cutoff is lost. ``other`` leaves equal names out.
     """
 
-    def blocks(c: str) -> Column:
-        return F.explode(F.array_distinct(F.array(F.concat(F.lit("<"), F.substring(c, 1, 2)), F.concat(F.lit(">"), F.right(F.col(c), F.lit(2))))))
-
-    pairs = names.select("name", blocks("name").alias("b")).join(known.select(F.col("name").alias("match"), blocks("name").alias("b")), "b").select("name", "match").distinct()
+    @F.udf("array<string>")
+    def parts(match):
+        return [f"{n} {m} {j} {match[a:b]}" for m in [len(match or "")] if m for n in partners(m, cutoff) for j, (a, b) in enumerate(pieces(n, m, cutoff))]
+
+    @F.udf("array<string>")
+    def places(name):
+        n, out = len(name or ""), set()
+        for m in partners(n, cutoff):
+            most = n + m - 2 * least_shared(n, m, cutoff)
+            for j, (a, b) in enumerate(pieces(n, m, cutoff)):
+                for at in range(max(0, a - most), min(n - (b - a), a + most) + 1):
+                    if abs(at - a) + abs(n - m - (at - a)) <= most:
+                        out.add(f"{n} {m} {j} {name[at : at + b - a]}")
+        return list(out)
+
+    pairs = names.select("name", F.explode(places("name")).alias("b")).join(known.select(F.col("name").alias("match"), F.explode(parts("name")).alias("b")), "b").select("name", "match").distinct()
     if other:
         pairs = pairs.where("name <> match")
     n, m = F.length("name"), F.length("match")

@@ -90,6 +90,27 @@ def c06(spark, sf_dir):
     return people.groupBy(F.col("value").alias("name")).agg(F.countDistinct("note_id").alias("notes"))
 
 
+@query("c02_match_people")
+def c02_people(spark, sf_dir):
+    """People of odd notes against those of even ones."""
+    people = en.people(spoken_notes(spark, sf_dir)).select((F.col("note_id") % 2 == 0).alias("even"), rm.normalize_name(F.col("value")).alias("name")).where("name <> ''").distinct()
+    return rm.match_names(people.where("NOT even").select("name"), people.where("even").select("name"), 0.82)
+
+
+@query("c06_notes_for_all_contacts")
+def c06_all(spark, sf_dir):
+    """C06 for every name, not only three."""
+    return en.people(spoken_notes(spark, sf_dir)).groupBy(F.col("value").alias("name")).agg(F.countDistinct("note_id").alias("notes"))
+
+
+@query("g09_list_sources", f"WITH {NOTES_SQL} SELECT s.source AS subject, count(t.topic_name) AS topics FROM (SELECT DISTINCT source FROM notes) s LEFT JOIN (SELECT DISTINCT source, topic_name FROM notes WHERE language <> 'en') t ON t.source = s.source GROUP BY ALL")
+def g09_sources(spark, sf_dir):
+    """Sources of documents with their number of topics that aren't English."""
+    base = notes(spark, sf_dir)
+    topics = base.where("language <> 'en'").select("source", "topic_name").distinct()
+    return base.select("source").distinct().join(topics, "source", "left").groupBy(F.col("source").alias("subject")).agg(F.count("topic_name").alias("topics"))
+
+
 @query("m03_create_reminders")
 def m03(spark, sf_dir):
     """Detected reminders that odd notes don't have yet."""

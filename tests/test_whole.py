@@ -1,5 +1,11 @@
 """Cases that cuts would lose: many tasks in a note, long notes, names with other first letters."""
 
+import random
+from difflib import SequenceMatcher
+
+import duckdb
+
+import __spark_entry__
 from notemill.operators import reminders, tokens
 
 
@@ -62,3 +68,36 @@ def test_themes_of_short_and_long_notes(spark):
             out.setdefault(r.note_id, {})[r.theme] = (round(r.weight, 9), r.topics)
     assert got == grouped == {1: plain_themes(scored[1], 1, 1), 2: plain_themes(scored[2], 9, 125)}
     assert len(scored[2]) > 60 and sum(len(t) for _, t in got[2].values()) > 60
+
+
+def test_names_with_other_ends_match(spark):
+    rng = random.Random(7)
+    pool = ["catherine smith", "elena fischerz", "li", "bo", "x", "marco rossi", "anna maria lopez garcia"]
+    heard = ["katherine smithe", "olena fischer", "li", "ob"]
+    for _ in range(150):
+        word = "".join(rng.choice("abcde") for _ in range(rng.randint(1, 16)))
+        pool.append(word)
+        other = list(word)
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(other) + 1)
+            other[i : i + rng.randint(0, 1)] = rng.choice(["", "a", "z"])
+        heard.append("".join(other) or "q")
+    pool, heard = sorted(set(pool)), sorted(set(heard))
+    for other in (False, True):
+        want = {}
+        for name in heard:
+            near = [(-SequenceMatcher(None, x, name).ratio(), x) for x in pool if not (other and x == name)]
+            if min(near)[0] <= -0.82:
+                want[name] = min(near)[1]
+        table = lambda xs: spark.createDataFrame([(x,) for x in xs], "name string")
+        assert {r.name: r.match for r in reminders.match_names(table(heard), table(pool), 0.82, other).collect()} == want
+    assert want["katherine smithe"] == "catherine smith" and want["olena fischer"] == "elena fischerz"
+
+
+def test_library_queries_read_all_documents(spark):
+    queries, sf = __spark_entry__.queries(), "/root/testdata/sf0.001"
+    counts = {r.name: r.notes for r in queries["c06_notes_for_all_contacts"](spark, sf).collect()}
+    assert {"Mensah", "Okafor", "Lena", "Priya"} <= set(counts)
+    duck = duckdb.sql(__spark_entry__.oracle_sql()["g09_list_sources"].replace("FROM documents", f"FROM '{sf}/documents.parquet'"))
+    assert sorted(map(tuple, queries["g09_list_sources"](spark, sf).collect())) == sorted(duck.fetchall())
+    assert all(r.ratio >= 0.82 for r in queries["c02_match_people"](spark, sf).collect())
