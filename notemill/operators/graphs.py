@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,19 +30,26 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def pagerank(vertices: DataFrame, links: DataFrame, group: str, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+def pagerank(vertices: DataFrame, links: DataFrame, group: str, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """Weighted ranks inside each group: vertices ``group, v``; links ``group, a, b, w``, each direction a row.
 
     Weight of vertices without links is spread evenly; all ranks of a group add up to 1.
+    A group is done when a round changes its ranks by less than ``tolerance`` a vertex; that is looked at every five rounds.
     """
     size = vertices.groupBy(group).agg(F.count("*").alias("n"))
     out = links.groupBy(group, "a").agg(F.sum("w").alias("total"))
     shares = cut_lineage(links.join(out, [group, "a"]).where("total > 0").select(group, "a", "b", (F.col("w") / F.col("total")).alias("share")))
     ranks = cut_lineage(vertices.join(size, group).join(out.select(group, F.col("a").alias("v"), "total"), [group, "v"], "left").select(group, "v", "n", F.coalesce("total", F.lit(0.0)).alias("total"), (1 / F.col("n")).alias("rank")))
-    for i in range(rounds):
-        given = shares.join(ranks.select(group, F.col("v").alias("a"), "rank"), [group, "a"]).groupBy(group, F.col("b").alias("v")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        idle = ranks.where("total = 0").groupBy(group).agg(F.sum("rank").alias("idle"))
-        ranks = ranks.drop("rank").join(given, [group, "v"], "left").join(idle, group, "left").withColumn("rank", (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.coalesce("idle", F.lit(0.0)) / F.col("n"))).drop("got", "idle")
-        if i % 5 == 4:
-            ranks = cut_lineage(ranks)
-    return ranks.select(group, "v", "rank")
+    done = None
+    while True:
+        for _ in range(5):
+            given = shares.join(ranks.select(group, F.col("v").alias("a"), "rank"), [group, "a"]).groupBy(group, F.col("b").alias("v")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+            idle = ranks.where("total = 0").groupBy(group).agg(F.sum("rank").alias("idle"))
+            ranks = ranks.withColumnRenamed("rank", "old").join(given, [group, "v"], "left").join(idle, group, "left").withColumn("rank", (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.coalesce("idle", F.lit(0.0)) / F.col("n"))).withColumn("moved", F.abs(F.col("rank") - F.col("old"))).drop("got", "idle", "old")
+            last, ranks = ranks, ranks.drop("moved")
+        looked = cut_lineage(last.withColumn("open", F.sum("moved").over(Window.partitionBy(group)) >= F.col("n") * tolerance).drop("moved"))
+        ended = looked.where("NOT open").select(group, "v", "rank")
+        done = ended if done is None else done.unionByName(ended)
+        ranks = looked.where("open").drop("open")
+        if ranks.isEmpty():
+            return done

@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 import duckdb
 
 import __spark_entry__
-from notemill.operators import reminders, tokens
+from notemill.operators import graphs, models, reminders, tokens
 
 
 def greedy(tasks, dates):
@@ -101,3 +101,23 @@ def test_library_queries_read_all_documents(spark):
     duck = duckdb.sql(__spark_entry__.oracle_sql()["g09_list_sources"].replace("FROM documents", f"FROM '{sf}/documents.parquet'"))
     assert sorted(map(tuple, queries["g09_list_sources"](spark, sf).collect())) == sorted(duck.fetchall())
     assert all(r.ratio >= 0.82 for r in queries["c02_match_people"](spark, sf).collect())
+
+
+def test_ranks_converge(spark):
+    n = 12
+    links = [(0, i, j, 1.0 + i) for i in range(n) for j in (i - 1, i + 1) if 0 <= j < n]
+    total = {i: sum(w for _, a, _, w in links if a == i) for i in range(n)}
+    want = [1 / n] * n
+    for _ in range(300):
+        want = [0.15 / n + 0.85 * sum(want[a] * w / total[a] for _, a, b, w in links if b == v) for v in range(n)]
+    vertices = spark.createDataFrame([(0, i) for i in range(n)] + [(1, i) for i in range(3)], "note_id long, v int")
+    got = {(r.note_id, r.v): r.rank for r in graphs.pagerank(vertices, spark.createDataFrame(links, "note_id long, a int, b int, w double"), "note_id").collect()}
+    assert len(got) == n + 3 and all(abs(got[0, v] - want[v]) < 1e-5 for v in range(n)) and abs(got[1, 0] - 1 / 3) < 1e-9
+
+
+def test_models_train_in_full(spark):
+    notes = spark.createDataFrame([(i, " ".join(f"word{j}" for j in range(7000 * i, 7000 * i + 7000))) for i in range(3)], "note_id long, raw_transcript string")
+    counter, lda = models.fit_lda(notes, 2)
+    assert len(counter.vocabulary) == 21000 and lda.getMaxIter() == 50
+    model = models.word2vec(notes.selectExpr("note_id", "substring(raw_transcript, 1, 200) AS raw_transcript"))
+    assert model.getMaxIter() == 30 and model.getVectorSize() == 100
