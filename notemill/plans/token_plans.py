@@ -17,7 +17,7 @@ counts AS (SELECT note_id, word, count(*) AS frequency FROM tokens GROUP BY ALL)
 PAIRS_SQL = TOKENS_SQL + """, nexts AS (SELECT note_id, word AS "first", lead(word) OVER (PARTITION BY note_id ORDER BY pos) AS "second" FROM tokens),
 pairs AS (SELECT note_id, "first", "second", count(*) AS frequency FROM nexts WHERE "second" IS NOT NULL GROUP BY ALL),
 totals AS (SELECT note_id, count(*) AS total FROM tokens GROUP BY ALL)"""
-CELL = "CASE WHEN {0} > 0 THEN {0} * ln({0} * total::DOUBLE / (({1})::DOUBLE * ({2}))) ELSE 0 END"
+CELL = "CASE WHEN {0} > 0 AND ({1})::DOUBLE * ({2}) > 0 THEN {0} * ln({0} * total::DOUBLE / (({1})::DOUBLE * ({2}))) ELSE 0 END"
 RATIO = "2 * (" + " + ".join(CELL.format(*c) for c in (("frequency", "n1", "n2"), ("(n2 - frequency)", "total - n1", "n2"), ("(n1 - frequency)", "n1", "total - n2"), ("(total - n1 - n2 + frequency)", "total - n1", "total - n2"))) + ")"
 COLLOCATIONS_SQL = PAIRS_SQL + f""", joined AS (SELECT p.*, total, a.frequency AS n1, b.frequency AS n2 FROM pairs p JOIN totals USING (note_id)
   JOIN counts a ON a.note_id = p.note_id AND a.word = p."first" JOIN counts b ON b.note_id = p.note_id AND b.word = p."second"
