@@ -15,13 +15,14 @@ cross documents.
    text and their suffixes sorted by induction (``induced``), with run queues on disk
    and the common prefix of each suffix with the one before. Neighbours with ``LEAST``
    symbols in common are one string; the least key among its documents decides.
-4. Very frequent anchors (over ``HOT`` places) are not gathered. Their different contexts are
-   counted once, cut into strings, and strings are grouped by 128-bit hash with partial
-   aggregation; joins back to places are split by adaptive execution.
+4. Very frequent anchors (in over ``HOT`` documents) are dealt over salts, ``MORE`` times as many for each ``MORE`` times
+   as many documents. There a context that a smaller key has too is removed at once, and only the least key's
+   contexts live on. What is left is cut into strings, which are grouped by 128-bit hash with partial aggregation.
 5. Spans of all strings are joined per document and cut out.
 
 Null text is empty; documents with a null key keep everything and count for nobody; rows that share
-a key don't count as each other's smaller document.
+a key don't count as each other's smaller document. A text of any length is one row of one task; texts below ``LEAST``
+bytes keep everything. Other columns are not read, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -37,63 +38,74 @@ from pyspark.sql import functions as F
 from notemill.llm.common import Texts, distinct, small, spread, stash, steps, text_view
 from notemill.llm.induced import suffix_order
 
-LEAST, KGRAM = 50, 16
+LEAST, KGRAM = 50, 24
 #: K-grams of one string.
 REACH = LEAST - KGRAM + 1
-HOT = 5000
+#: Documents beyond which an anchor is salted, and how many times more of them make the next level.
+HOT, MORE = 5000, 16
 PIECE_BYTES = 3 << 20
 BROADCAST_BYTES = 24 << 20
 #: Bits of the filter over repeated anchors: ten for each, between these bounds.
 FILTER_BITS = (1 << 16, 1 << 28)
-#: Bits of a hash that order k-grams; the place breaks ties, to the left.
-ORDER_BITS = 36
+#: Strings that one vectorised step looks at, and low bits of a hash that give way to the place, which breaks ties to the left.
+BLOCK, PLACE_BITS = 1 << 16, 17
 
 
 def kgram_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the k-gram at each byte but the last few."""
     n = len(data) - KGRAM + 1
-    two = np.frombuffer(data.tobytes() + b"\0" * 8, np.uint8)
-    word = np.zeros(len(data), np.uint64)
-    for j in range(8):
-        word |= two[j : j + len(data)].astype(np.uint64) << np.uint64(8 * j)
-    x = word[:n] * np.uint64(0x9E3779B97F4A7C15) ^ (word[8 : n + 8] + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    word = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), 0, (1,)).copy()  # the eight bytes at each place
+    x = word[:n] * np.uint64(0x9E3779B97F4A7C15)
+    for j in range(8, KGRAM, 8):
+        x ^= (word[j : n + j] + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+    x *= np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(29))
 
 
 def anchors(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number, place in the joined bytes and hash of each anchor, in order of place."""
-    n = len(texts.data)
-    if n < LEAST:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-    h = kgram_hashes(texts.data)
-    key = h >> np.uint64(64 - ORDER_BITS) << np.uint64(64 - ORDER_BITS) | (np.arange(len(h), dtype=np.uint64) & np.uint64((1 << (64 - ORDER_BITS)) - 1))
-    width = 1  # least key of the next `width` places, by doubling
-    least = key
-    while width < REACH:
-        step = min(width, REACH - width)
-        least = np.minimum(least[:-step], least[step:])
-        width += step
-    start = np.arange(len(least))
-    of = np.searchsorted(texts.at, start, side="right") - 1
-    inside = start + LEAST <= texts.at[of + 1]
-    place = np.unique((least[inside] & np.uint64((1 << (64 - ORDER_BITS)) - 1)).astype(np.int64))
-    return np.searchsorted(texts.at, place, side="right") - 1, place, h[place]
-
-
-def anchor_counts(docs: DataFrame) -> DataFrame:
-    """``m, c``: each anchor of each document, and how often it has it."""
+    data, n = texts.data, len(texts.data)
+    inside = np.ones(n, bool)  # strings that end in their text
+    short = np.minimum(np.diff(texts.at), LEAST - 1)
+    inside[spread(texts.at[1:] - short, short)] = False
+    mask, index = np.uint64((1 << PLACE_BITS) - 1), np.arange(BLOCK + REACH, dtype=np.uint64)
+    places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for begin in range(0, n - LEAST + 1, BLOCK):
+        end = min(begin + BLOCK, n - LEAST + 1)
+        h = kgram_hashes(data[begin : end + LEAST - 1])
+        least = h & ~mask | index[: len(h)]
+        width = 1  # least of the next `width` places, by doubling
+        while width < REACH:
+            step = min(width, REACH - width)
+            least = np.minimum(least[:-step], least[step:])
+            width += step
+        p = (least[inside[begin:end]] & mask).astype(np.int64)
+        if len(p):  # places never go back
+            p = p[np.concatenate([[True], p[1:] != p[:-1]])]
+            places.append(p + begin)
+            hashes.append(h[p])
+    place, h = np.concatenate(places), np.concatenate(hashes)
+    new = np.ones(len(place), bool)
+    new[1:] = place[1:] != place[:-1]
+    place, h = place[new], h[new]
+    return np.searchsorted(texts.at, place, side="right") - 1, place, h
+
+
+def anchor_marks(docs: DataFrame) -> DataFrame:
+    """``m``: the different anchors of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in steps(batches, "t"):
             of, _, h = anchors(texts)
-            if len(of):
-                order = np.lexsort([h, of])
-                of, h = of[order], h[order]
-                first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (h[1:] != h[:-1])]))
-                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(np.diff(np.append(first, len(h))))], names=["m", "c"])
+            order = np.argsort(h, kind="stable")  # equal anchors of a text stay together
+            of, h = of[order], h[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (of[1:] != of[:-1]) | (h[1:] != h[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64))], names=["m"])
 
-    return docs.select("k", "t").mapInArrow(run, "m long, c long")
+    return docs.select("k", "t").mapInArrow(run, "m long")
 
 
 def filter_of(repeated: DataFrame) -> np.ndarray:
@@ -110,20 +122,25 @@ def filter_of(repeated: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def contexts(docs: DataFrame, words: np.ndarray) -> DataFrame:
-    """``m, k, lo, ctx``: context of each anchor that may be repeated, and where in the document it starts."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+def within(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold each anchor."""
+    last = np.uint64(len(words) * 64 - 1)
+    hit = lambda p: words[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)
+    return (hit(h & last) & hit((h >> np.uint64(32)) & last)).astype(bool)
+
+
+def contexts(docs: DataFrame, filters: list[np.ndarray]) -> DataFrame:
+    """``m, s, k, lo, ctx``: context of each anchor that may be repeated, where in the document it starts, and its salt.
 
-    def may(h: np.ndarray) -> np.ndarray:
-        held, last = shared.value, np.uint64(len(shared.value) * 64 - 1)
-        a, b = h & last, (h >> np.uint64(32)) & last
-        hit = lambda p: held[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)
-        return (hit(a) & hit(b)).astype(bool)
+    The first filter holds all repeated anchors, each further one those that are frequent enough for the
+    next level of salts; a salt is 0 for anchors of no level.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in steps(batches, "t", 1 << 20):
+        for part, texts in steps(batches, "t"):
             of, place, h = anchors(texts)
-            use = may(h)
+            use = within(shared.value[0], h)
             of, place, h = of[use], place[use], h[use]
             if len(of):
                 lo = np.maximum(place - (REACH - 1), texts.at[of])
@@ -131,9 +148,14 @@ def contexts(docs: DataFrame, words: np.ndarray) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum(hi - lo)])
                 ctx = Texts(texts.data[spread(lo, hi - lo)], at).arrow().cast(pa.binary())
                 keys = part.column(0).to_numpy()[of]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys), pa.array(lo - texts.at[of]), ctx], names=["m", "k", "lo", "ctx"])
+                mixed = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)
+                salt = np.zeros(len(of), np.int64)
+                for level, words in enumerate(shared.value[1:], 1):
+                    hot = within(words, h)
+                    salt[hot] = 1 + (mixed[hot] % np.uint64(MORE**level)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(salt), pa.array(keys), pa.array(lo - texts.at[of]), ctx], names=["m", "s", "k", "lo", "ctx"])
 
-    return docs.select("k", "t").mapInArrow(run, "m long, k long, lo long, ctx binary")
+    return docs.select("k", "t").mapInArrow(run, "m long, s long, k long, lo long, ctx binary")
 
 
 def repeated_spans(marks: np.ndarray, keys: np.ndarray, lo: np.ndarray, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,9 +168,9 @@ def repeated_spans(marks: np.ndarray, keys: np.ndarray, lo: np.ndarray, texts: T
     sizes = np.fromiter(map(len, kinds), np.int64, len(kinds))
     least = np.full(len(kinds), never)
     np.minimum.at(least, index, keys)
-    pairs = np.unique(np.stack([np.unique(marks, return_inverse=True)[1], index]), axis=1)
+    mark, kind = np.divmod(np.unique(np.unique(marks, return_inverse=True)[1] * len(kinds) + index), len(kinds))
     several = np.zeros(len(kinds), bool)
-    several[pairs[1, np.bincount(pairs[0])[pairs[0]] > 1]] = True
+    several[kind[np.bincount(mark)[mark] > 1]] = True
     base = np.cumsum(sizes + 1) - (sizes + 1)
     first_key = np.repeat(least, sizes + 1)
     if several.any():
@@ -176,45 +198,63 @@ def repeated_spans(marks: np.ndarray, keys: np.ndarray, lo: np.ndarray, texts: T
     return keys[row[heads]], start[heads], start[last] + LEAST if len(heads) else start[heads]
 
 
-def sorted_spans(ordered: DataFrame) -> DataFrame:
-    """``k, a, b`` from contexts that are partitioned and sorted by anchor."""
+def least_contexts(marks: np.ndarray, keys: np.ndarray, texts: Texts) -> np.ndarray:
+    """Which rows have the least key of their anchor and context here."""
+    kinds, index = distinct(texts)
+    _, pair = np.unique(np.unique(marks, return_inverse=True)[1] * len(kinds) + index, return_inverse=True)
+    least = np.full(len(keys), np.iinfo(np.int64).max)
+    np.minimum.at(least, pair, keys)
+    return keys == least[pair]
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def judged(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            rows = pa.Table.from_batches(parts)
-            k, a, b = repeated_spans(rows.column("m").to_numpy(), rows.column("k").to_numpy(), rows.column("lo").to_numpy(), text_view(rows.column("ctx")))
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(a), pa.array(b)], names=["k", "a", "b"])
+def judged_contexts(ordered: DataFrame) -> DataFrame:
+    """``k, a, b, ctx`` from contexts that are partitioned and sorted by anchor and salt.
+
+    Rows without ``ctx`` are spans to remove; rows with it are salted contexts that start at ``a``, on which no
+    smaller key was found.
+    """
+
+    def piece(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        m, s, k, lo = (rows.column(i).to_numpy() for i in range(4))
+        texts = text_view(rows.column("ctx"))
+        cold, hot = np.flatnonzero(s == 0), np.flatnonzero(s > 0)
+        if len(cold):
+            k1, a, b = repeated_spans(m[cold], k[cold], lo[cold], texts.pick(cold) if len(hot) else texts)
+            yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(a), pa.array(b), pa.nulls(len(k1), pa.binary())], names=["k", "a", "b", "ctx"])
+        if len(hot):
+            lives = least_contexts(m[hot], k[hot], texts.pick(hot))
+            end = lo[hot] + np.diff(texts.at)[hot]
+            ctx = pc.if_else(pa.array(lives), rows.column("ctx").combine_chunks().take(pa.array(hot)), pa.scalar(None, pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(k[hot]), pa.array(lo[hot]), pa.array(end), ctx], names=["k", "a", "b", "ctx"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if size >= PIECE_BYTES:  # end the piece where the anchor changes
-                m = batch.column(0).to_numpy()
-                other = np.flatnonzero(m != held[-1].column(0)[held[-1].num_rows - 1].as_py())
-                if len(other):
-                    yield judged([*held, batch.slice(0, int(other[0]))])
-                    held, batch, size = [], batch.slice(int(other[0])), 0
+            if size >= PIECE_BYTES:  # end the piece where the anchor changes; salted contexts may be cut anywhere
+                m, s = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                ends = np.flatnonzero((m != held[-1].column(0)[held[-1].num_rows - 1].as_py()) | (s > 0))
+                if len(ends):
+                    yield from piece([*held, batch.slice(0, int(ends[0]))])
+                    held, batch, size = [], batch.slice(int(ends[0])), 0
             held.append(batch)
-            size += pc.sum(pc.binary_length(batch.column(3))).as_py()
+            size += pc.sum(pc.binary_length(batch.column(4))).as_py()
         if held:
-            yield judged(held)
+            yield from piece(held)
 
-    return ordered.select("m", "k", "lo", "ctx").mapInArrow(run, "k long, a long, b long")
+    return ordered.select("m", "s", "k", "lo", "ctx").mapInArrow(run, "k long, a long, b long, ctx binary")
 
 
-def hot_spans(places: DataFrame) -> DataFrame:
-    """``k, a, b`` for contexts of very frequent anchors, without gathering any of them."""
-    places = stash(places.select("k", "lo", "ctx", F.md5("ctx").alias("c")), "hot")
-    kinds = stash(places.groupBy("c").agg(F.min("k").alias("k"), F.min("ctx").alias("ctx")), "kinds")
+def string_spans(lives: DataFrame) -> DataFrame:
+    """``k, a, b`` of each string in contexts ``k, a, ctx`` that a smaller key has too, by hash of the string."""
     strings = F.transform(F.sequence(F.lit(1), F.octet_length("ctx") - LEAST + 1), lambda i: F.md5(F.substring("ctx", i, F.lit(LEAST))))
-    cut = kinds.where(F.octet_length("ctx") >= LEAST).select("c", "k", F.posexplode(strings).alias("i", "s"))
-    first = stash(cut.groupBy("s").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count("*").alias("n")).where("n > 1").drop("last", "n"), "strings")
-    known = stash(cut.join(first, "s").groupBy("c").agg(F.collect_list(F.struct("i", "first")).alias("strings")), "known")  # at most a context's strings
-    whole = places.join(kinds.select(F.col("c").alias("kc"), F.col("k").alias("first"), F.octet_length("ctx").alias("n")), F.col("c") == F.col("kc")).where("first < k AND n >= " + str(LEAST)).select("k", F.col("lo").alias("a"), (F.col("lo") + F.col("n")).alias("b"))
-    parts = places.join(known, "c").select("k", "lo", F.explode(F.filter("strings", lambda x: x["first"] < F.col("k"))).alias("x")).select("k", (F.col("lo") + F.col("x.i")).alias("a"), (F.col("lo") + F.col("x.i") + LEAST).alias("b"))
-    return whole.unionByName(parts)
+    cut = stash(lives.select("k", "a", F.posexplode(strings).alias("i", "s")), "strings")
+    first = stash(cut.groupBy("s").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").drop("last"), "first")
+    start = F.col("a") + F.col("i")
+    return cut.join(first, "s").where("first < k").select("k", start.alias("a"), (start + LEAST).alias("b"))
 
 
 def fitting(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -228,18 +268,22 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     equal = stash(heads.groupBy("h").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").drop("last"), "equal")
     copies = stash(heads.join(equal, "h").where("k > first").select(F.col("k").alias("ck"), F.col("h").alias("ch")).distinct(), "copies")
     marked = plain.withColumn("h", F.md5("t"))
-    copies = fitting(copies, 100)
-    firsts = marked.where("k IS NOT NULL").join(copies, (F.col("k") == F.col("ck")) & (F.col("h") == F.col("ch")), "left_anti").select("k", "t")
-
-    repeated = stash(anchor_counts(firsts).groupBy("m").agg(F.count("*").alias("n"), F.sum("c").alias("places")).where("n > 1").select(F.col("m").alias("rm"), (F.col("places") > HOT).alias("hot")), "anchors")
-    often = fitting(stash(repeated.where("hot").select("rm"), "often"), 100)
-    found = contexts(firsts, filter_of(repeated))
-    ordered = found.join(often, F.col("m") == F.col("rm"), "left_anti").repartition("m").sortWithinPartitions("m")
-    spans = sorted_spans(ordered).unionByName(hot_spans(found.join(often, F.col("m") == F.col("rm"))))
-    spans = stash(spans.groupBy("k").agg(F.collect_list(F.shiftleft(F.col("a"), 32).bitwiseOR(F.col("b"))).alias("spans")).withColumnRenamed("k", "sk"), "spans")
-    spans = fitting(spans, 400)
-    joined = marked.join(spans, F.col("k") == F.col("sk"), "left").join(copies, (F.col("k") == F.col("ck")) & (F.col("h") == F.col("ch")), "left")
-    rows = joined.select("k", F.col("ck").isNotNull().alias("copy"), "spans", "t")
+    firsts = marked.where("k IS NOT NULL").join(fitting(copies, 100), (F.col("k") == F.col("ck")) & (F.col("h") == F.col("ch")), "left_anti").select("k", "t")
+
+    level = sum(((F.col("n") > HOT * MORE**i).cast("int") for i in range(1, 9)), (F.col("n") > HOT).cast("int"))
+    repeated = stash(anchor_marks(firsts).groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select(F.col("m").alias("rm"), level.alias("level")), "anchors")
+    levels = repeated.agg(F.max("level")).first()[0] or 0
+    filters = [filter_of(repeated.where(F.col("level") >= i)) for i in range(levels + 1)]
+    judged = stash(judged_contexts(contexts(firsts, filters).repartition("m", "s").sortWithinPartitions("m", "s")), "judged")
+    spans = judged.where("ctx IS NULL").select("k", "a", "b")
+    if levels:
+        spans = spans.unionByName(string_spans(judged.where("ctx IS NOT NULL").select("k", "a", "ctx")))
+    packed = F.shiftleft(F.col("a"), 32).bitwiseOR(F.col("b"))
+    gone = spans.select("k", packed.alias("span"), F.lit(None).cast("string").alias("ch")).unionByName(copies.select(F.col("ck").alias("k"), F.lit(None).cast("long").alias("span"), "ch"))
+    gone = stash(gone.groupBy(F.col("k").alias("sk")).agg(F.collect_list("span").alias("spans"), F.collect_list("ch").alias("copies")), "gone")
+    # documents meet their spans by key at every size; those without a key have none
+    met = marked.where("k IS NOT NULL").join(gone.hint("merge"), F.col("k") == F.col("sk"), "left").select("k", F.coalesce(F.array_contains("copies", F.col("h")), F.lit(False)).alias("copy"), "spans", "t")
+    rows = met.unionByName(plain.where("k IS NULL").select("k", F.lit(False).alias("copy"), F.lit(None).cast("array<long>").alias("spans"), "t"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in steps(batches, "t"):

@@ -258,9 +258,10 @@ def test_contamination_against_all_windows(spark):
 # ---- 7 ----
 
 
-@pytest.mark.parametrize(("hot", "piece"), [(5000, 8 << 20), (2, 3000)])
-def test_substrings_against_all_strings(docs, awkward, monkeypatch, hot, piece):
+@pytest.mark.parametrize(("hot", "piece", "block"), [(5000, 8 << 20, 1 << 16), (2, 3000, 100)])
+def test_substrings_against_all_strings(docs, awkward, monkeypatch, hot, piece, block):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
     monkeypatch.setattr(substring_dedup, "PIECE_BYTES", piece)
     first = {}
     for k, t in sorted((x for x in awkward if x[0] is not None), key=lambda x: x[0]):
