@@ -129,8 +129,27 @@ def within(words: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (hit(h & last) & hit((h >> np.uint64(32)) & last)).astype(bool)
 
 
+def same_contexts(of: np.ndarray, h: np.ndarray, found: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal contexts of one text and anchor as one: the first row of each, how many there are, and all rows in that order."""
+    by_hash = np.argsort(h, kind="stable")
+    twin = (h[by_hash][1:] == h[by_hash][:-1]) & (of[by_hash][1:] == of[by_hash][:-1])
+    again = np.zeros(len(h), bool)
+    again[by_hash[1:][twin]] = again[by_hash[:-1][twin]] = True
+    group = np.arange(len(h))
+    rows = np.flatnonzero(again)
+    if len(rows):
+        _, kind = distinct(found.pick(rows))
+        order = np.lexsort([rows, kind, h[rows], of[rows]])
+        new = np.ones(len(rows), bool)
+        new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (kind, h[rows], of[rows])], axis=0)
+        group[rows[order]] = rows[order][new][np.cumsum(new) - 1]
+    order = np.argsort(group, kind="stable")
+    first, per = np.unique(group, return_counts=True)
+    return first, per, order
+
+
 def contexts(docs: DataFrame, filters: list[np.ndarray]) -> DataFrame:
-    """``m, s, k, lo, ctx``: context of each anchor that may be repeated, where in the document it starts, and its salt.
+    """``m, s, k, lo, ctx``: context of each anchor that may be repeated, all places where it starts in the document, and its salt.
 
     The first filter holds all repeated anchors, each further one those that are frequent enough for the
     next level of salts; a salt is 0 for anchors of no level.
@@ -145,21 +164,24 @@ def contexts(docs: DataFrame, filters: list[np.ndarray]) -> DataFrame:
             if len(of):
                 lo = np.maximum(place - (REACH - 1), texts.at[of])
                 hi = np.minimum(place + LEAST, texts.at[of + 1])
-                at = np.concatenate([[0], np.cumsum(hi - lo)])
-                ctx = Texts(texts.data[spread(lo, hi - lo)], at).arrow().cast(pa.binary())
+                found = Texts(texts.data[spread(lo, hi - lo)], np.concatenate([[0], np.cumsum(hi - lo)]))
+                first, per, order = same_contexts(of, h, found)
+                places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), pa.array((lo - texts.at[of])[order]))
+                ctx = found.pick(first).arrow().cast(pa.binary())
+                of, h = of[first], h[first]
                 keys = part.column(0).to_numpy()[of]
                 mixed = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)
                 salt = np.zeros(len(of), np.int64)
                 for level, words in enumerate(shared.value[1:], 1):
                     hot = within(words, h)
                     salt[hot] = 1 + (mixed[hot] % np.uint64(MORE**level)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(salt), pa.array(keys), pa.array(lo - texts.at[of]), ctx], names=["m", "s", "k", "lo", "ctx"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(salt), pa.array(keys), places, ctx], names=["m", "s", "k", "lo", "ctx"])
 
-    return docs.select("k", "t").mapInArrow(run, "m long, s long, k long, lo long, ctx binary")
+    return docs.select("k", "t").mapInArrow(run, "m long, s long, k long, lo array<long>, ctx binary")
 
 
-def repeated_spans(marks: np.ndarray, keys: np.ndarray, lo: np.ndarray, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key, start and end of each run of strings in these contexts that a smaller key has too.
+def repeated_spans(marks: np.ndarray, keys: np.ndarray, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, and start and end in its context, of each run of strings that a smaller key has too.
 
     A context without a different one of the same anchor needs no sorting: its strings occur where it does.
     """
@@ -186,16 +208,16 @@ def repeated_spans(marks: np.ndarray, keys: np.ndarray, lo: np.ndarray, texts: T
         group, order = group[use], order[use]
         np.minimum.at(found, group, least[some[of[order]]])
         first_key[base[some[of[order]]] + order - start[of[order]]] = found[group]
-    # each place has the strings of its context
+    # each row has the strings of its context
     strings = np.maximum(sizes[index] - LEAST + 1, 0)
     offset = spread(np.zeros(len(index), np.int64), strings)
     row = np.repeat(np.arange(len(index)), strings)
     dup = first_key[base[index[row]] + offset] < keys[row]
-    row, start = row[dup], (lo[row] + offset)[dup]
+    row, start = row[dup], offset[dup]
     head = np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)]) if len(row) else np.zeros(0, bool)
     heads = np.flatnonzero(head)
     last = np.append(heads[1:], len(row)) - 1
-    return keys[row[heads]], start[heads], start[last] + LEAST if len(heads) else start[heads]
+    return row[heads], start[heads], start[last] + LEAST if len(heads) else start[heads]
 
 
 def least_contexts(marks: np.ndarray, keys: np.ndarray, texts: Texts) -> np.ndarray:
@@ -216,17 +238,24 @@ def judged_contexts(ordered: DataFrame) -> DataFrame:
 
     def piece(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(parts).combine_chunks()
-        m, s, k, lo = (rows.column(i).to_numpy() for i in range(4))
-        texts = text_view(rows.column("ctx"))
+        m, s, k = (rows.column(i).to_numpy() for i in range(3))
+        places, texts, ctx = rows.column("lo").combine_chunks(), text_view(rows.column("ctx")), rows.column("ctx").combine_chunks()
+        lo, per = places.flatten().to_numpy(), places.value_lengths().to_numpy()
+        at = np.cumsum(per) - per
+
+        def spans(row: np.ndarray, a: np.ndarray, b: np.ndarray, held: pa.Array) -> pa.RecordBatch:
+            """One output row for each place of each row."""
+            n = per[row]
+            base = lo[spread(at[row], n)]
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(k[row], n)), pa.array(base + np.repeat(a, n)), pa.array(base + np.repeat(b, n)), held.take(pa.array(np.repeat(np.arange(len(row)), n)))], names=["k", "a", "b", "ctx"])
+
         cold, hot = np.flatnonzero(s == 0), np.flatnonzero(s > 0)
         if len(cold):
-            k1, a, b = repeated_spans(m[cold], k[cold], lo[cold], texts.pick(cold) if len(hot) else texts)
-            yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(a), pa.array(b), pa.nulls(len(k1), pa.binary())], names=["k", "a", "b", "ctx"])
+            row, a, b = repeated_spans(m[cold], k[cold], texts.pick(cold) if len(hot) else texts)
+            yield spans(cold[row], a, b, pa.nulls(len(row), pa.binary()))
         if len(hot):
             lives = least_contexts(m[hot], k[hot], texts.pick(hot))
-            end = lo[hot] + np.diff(texts.at)[hot]
-            ctx = pc.if_else(pa.array(lives), rows.column("ctx").combine_chunks().take(pa.array(hot)), pa.scalar(None, pa.binary()))
-            yield pa.RecordBatch.from_arrays([pa.array(k[hot]), pa.array(lo[hot]), pa.array(end), ctx], names=["k", "a", "b", "ctx"])
+            yield spans(hot, np.zeros(len(hot), np.int64), np.diff(texts.at)[hot], pc.if_else(pa.array(lives), ctx.take(pa.array(hot)), pa.scalar(None, pa.binary())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
