@@ -67,3 +67,109 @@ LANGUAGES = {"en": "English", "hi": "Hindi", "bn": "Bengali", "pa": "Punjabi", "
 # ---- fixed values: utterances ----
 TYPE_WORDS = {"brainstorms": "brainstorm", "brainstorm": "brainstorm", "ideas": "brainstorm", "idea": "brainstorm", "thoughts": "brainstorm", "to-dos": "todo", "to-do": "todo", "todos": "todo", "todo": "todo", "tasks": "todo", "task": "todo", "reminders": "todo", "lecture notes": "academic", "class notes": "academic", "academic notes": "academic"}
 WINDOW_HOURS = {"today": 24, "yesterday": 24, "this week": 168, "last week": 168, "this month": 744, "last month": 744, "this year": 8760, "recently": 168}
+
+# ---- fixed values: topics, each with the forms that name it ----
+TOPICS = {
+    "Linked List": ["linked list", "linked lists", "singly linked list", "doubly linked list", "circular linked list"],
+    "Array": ["array", "arrays", "dynamic array", "dynamic arrays"],
+    "Stack": ["stack", "stacks"],
+    "Queue": ["queue", "queues", "priority queue", "priority queues"],
+    "Deque": ["deque", "deques", "double ended queue", "double-ended queue"],
+    "Binary Search Tree": ["binary search tree", "binary search trees", "bst"],
+    "Binary Tree": ["binary tree", "binary trees"],
+    "AVL Tree": ["avl tree", "avl trees"],
+    "Red-Black Tree": ["red-black tree", "red black tree", "red-black trees"],
+    "Heap": ["heap", "heaps", "min heap", "max heap", "min-heap", "max-heap"],
+    "Hash Table": ["hash table", "hash tables", "hash map", "hash maps", "hashmap", "hashing"],
+    "Trie": ["trie", "tries"],
+    "Graph": ["graph", "graphs", "adjacency list", "adjacency matrix"],
+    "B-Tree": ["b-tree", "b tree", "b+ tree", "b-trees"],
+    "Recursion": ["recursion", "recursive"],
+    "Merge Sort": ["merge sort", "merge sorts"],
+    "Quick Sort": ["quick sort", "quicksort"],
+    "Bubble Sort": ["bubble sort"],
+    "Insertion Sort": ["insertion sort"],
+    "Selection Sort": ["selection sort"],
+    "Binary Search": ["binary search"],
+    "Linear Search": ["linear search"],
+    "Depth First Search": ["depth first search", "depth-first search", "dfs"],
+    "Breadth First Search": ["breadth first search", "breadth-first search", "bfs"],
+    "Dynamic Programming": ["dynamic programming"],
+    "Greedy Algorithm": ["greedy algorithm", "greedy algorithms"],
+    "Divide And Conquer": ["divide and conquer"],
+    "Backtracking": ["backtracking"],
+    "Time Complexity": ["time complexity"],
+    "Space Complexity": ["space complexity"],
+    "Big O Notation": ["big o notation", "big-o notation", "big o"],
+    "Algorithm": ["algorithm", "algorithms"],
+    "Process": ["process", "processes"],
+    "Thread": ["thread", "threads", "multithreading"],
+    "Deadlock": ["deadlock", "deadlocks"],
+    "Mutual Exclusion": ["mutual exclusion"],
+    "Circular Wait": ["circular wait"],
+    "Scheduling": ["scheduling", "round robin scheduling", "round-robin scheduling"],
+    "Semaphore": ["semaphore", "semaphores"],
+    "Mutex": ["mutex", "mutexes"],
+    "Race Condition": ["race condition", "race conditions"],
+    "Context Switch": ["context switch", "context switching"],
+    "Virtual Memory": ["virtual memory"],
+    "Page Fault": ["page fault", "page faults", "page replacement"],
+    "Paging": ["paging"],
+    "Segmentation": ["segmentation"],
+    "Operating System": ["operating system", "operating systems"],
+    "Kernel": ["kernel"],
+    "System Call": ["system call", "system calls"],
+    "Interrupt": ["interrupt", "interrupts"],
+    "Critical Section": ["critical section", "critical sections"],
+    "Synchronization": ["synchronization", "synchronisation"],
+    "Starvation": ["starvation"],
+    "Database": ["database", "databases"],
+    "Index": ["index", "indexes", "indices"],
+    "Primary Key": ["primary key", "primary keys"],
+    "Foreign Key": ["foreign key", "foreign keys"],
+    "Normalization": ["normalization", "normalisation"],
+    "Transaction": ["transaction", "transactions"],
+    "ACID": ["acid properties", "acid"],
+    "Schema": ["database schema", "schema design"],
+    "SQL": ["sql"],
+    "NoSQL": ["nosql", "no sql"],
+    "TCP": ["tcp"],
+    "UDP": ["udp"],
+    "Protocol": ["protocol", "protocols"],
+    "Packet": ["packet", "packets"],
+    "Socket": ["socket", "sockets"],
+    "DNS": ["dns"],
+    "HTTP": ["http", "https"],
+    "Inheritance": ["inheritance"],
+    "Polymorphism": ["polymorphism"],
+    "Encapsulation": ["encapsulation"],
+    "Abstraction": ["abstraction"],
+    "Pointer": ["pointer", "pointers"],
+    "Machine Learning": ["machine learning"],
+    "Gradient Descent": ["gradient descent"],
+    "Loss Function": ["loss function", "loss functions"],
+    "Learning Rate": ["learning rate", "learning rates"],
+    "Neural Network": ["neural network", "neural networks"],
+    "Backpropagation": ["backpropagation", "back propagation"],
+    "Overfitting": ["overfitting"],
+    "Supervised Learning": ["supervised learning"],
+    "Unsupervised Learning": ["unsupervised learning"],
+    "Reinforcement Learning": ["reinforcement learning"],
+}
+DEFAULT_SUBJECT = "General"
+EXPLICIT_PLACEMENTS = [
+    rf"(?i)\b{lead} (?:my )?(.+?)(?:\s+(?:topic|project|subject))?[.!]?$"
+    for lead in ["file (?:this|it) under", "put (?:this|it) under", "this (?:goes|belongs) (?:under|in)", "organi[sz]e (?:this|it) under"]
+]
+PLACEMENT = r"(?i)\b(?:file|put|save)\s+this\s+under\s+([A-Za-z][\w\s\-']{1,60}?)(?:[.,;!?]|$)"
+
+# ---- fixed values: topic names ----
+ACTION_WORDS = """is are was were be been being has have had do does did covered covers hold holds held happen happens happened wait
+waits controls control controlled uses use used make makes made get gets go goes went come comes said says need needs want wants
+take takes give gives show shows call calls put puts run runs""".split()
+CONTAINER_WORDS = """lecture lectures notes note class classes session sessions chapter chapters today tomorrow yesterday
+meeting""".split()
+TOPIC_CUTOFF, SUBJECT_CUTOFF, NAME_CUTOFF, RETAKE_CUTOFF = 0.72, 0.55, 0.72, 0.6
+
+# ---- fixed values: half of the day in answers ----
+MERIDIEM_ANSWER = r"\b(a\.?m\.?|p\.?m\.?|morning|afternoon|evening|night)\b"

@@ -13,6 +13,7 @@ from notemill.functions import fixed
 #: Characters that compatibility normalisation may change; other texts never reach the Python function.
 MAY_CHANGE = r"[ ¨ª¯²-µ¸-º¼-¾ĲĳĿŀŉſǄ-ǌǱ-ǳʰ-퟿-￿]|[^\u0000-￿]"
 WORD = r"[A-Za-z0-9']+"
+FOLD_BLOCK = 256
 
 
 def let(value: Column, body) -> Column:
@@ -148,7 +149,31 @@ def words(text: Column) -> Column:
 def title_case(text: Column) -> Column:
     """Capital after every character that is no letter."""
     parts = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}]+|[^\p{L}]+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 2**31 - 1))), "")
+    first = lambda p: let(F.upper(F.substring(p, 1, 1)), lambda u: F.concat(F.substring(u, 1, 1), F.lower(F.substring(u, 2, 2))))  # noqa: E731  # a capital of two letters, as of ß
+    return F.array_join(F.transform(parts, lambda p: F.concat(first(p), F.substring(p, 2, 2**31 - 1))), "")
+
+
+def running(values: Column, op) -> Column:
+    """``op`` (a sum, the greater of two) of an array of numbers up to each element, itself included.
+
+    Folds run inside blocks of ``FOLD_BLOCK`` and over the blocks' last values, since a fold copies what it has gathered:
+    the copies grow with the power 1.5 of the size or so, where one fold over everything grows with its square.
+    """
+    empty = F.array().cast("array<int>")
+
+    def fold(xs: Column) -> Column:
+        return F.aggregate(xs, empty, lambda s, x: F.concat(s, F.array(F.when(F.size(s) == 0, x).otherwise(op(F.get(s, F.size(s) - 1), x)))))
+
+    def blocks(v: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / FOLD_BLOCK).cast("int")), lambda b: fold(F.slice(v, b * FOLD_BLOCK + 1, F.lit(FOLD_BLOCK))))
+        shifted = lambda c, t: F.flatten(F.transform(c, lambda x, i: F.when(i == 0, x).otherwise(F.transform(x, lambda y: op(F.get(t, i - 1), y)))))
+        return let(cut, lambda c: let(fold(F.transform(c, lambda x: F.element_at(x, -1))), lambda t: shifted(c, t)))
+
+    return let(values, lambda v: F.when(F.size(v) == 0, empty).when(F.size(v) <= FOLD_BLOCK, fold(v)).otherwise(blocks(v)))
+
+
+def running_sums(values: Column) -> Column:
+    return running(values, lambda a, b: a + b)
 
 
 def spans(text: Column, pattern: str, group: int = 0) -> Column:
@@ -161,9 +186,8 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
 
     def place(values: Column) -> Column:
         gaps = F.transform(F.split(text, pattern, -1), F.length)
-        sizes = F.zip_with(F.slice(let(gaps, lambda g: g), 1, F.size(values)), F.transform(values, F.length), lambda g, v: F.struct(g.alias("g"), v.alias("v")))
-        start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts"))
-        starts = F.aggregate(sizes, start, lambda s, x: F.struct((s["end"] + x["g"] + x["v"]).alias("end"), F.concat(s["starts"], F.array(s["end"] + x["g"])).alias("starts")), lambda s: s["starts"])
+        sizes = let(F.transform(values, F.length), lambda n: F.zip_with(F.slice(gaps, 1, F.size(n)), n, lambda g, v: g + v))
+        starts = F.zip_with(running_sums(sizes), values, lambda e, v: e - F.length(v))
 
         def one(s: Column, v: Column) -> Column:
             inner = F.regexp_extract(v, pattern, group) if group else v

@@ -209,8 +209,10 @@ def event_mention(body: Column) -> Column:
 
 
 def explicit_placement(body: Column) -> Column:
-    name = F.regexp_extract(body, r"(?i)\bfile (?:this|it) under ([^.!?\n]+)", 1)
-    return F.nullif(F.trim(name), F.lit(""))
+    """The place that a note asks for at its end, as spoken; null without one. The first pattern that matches counts."""
+    said = F.regexp_replace(F.coalesce(body, F.lit("")), r"^\s+|\s+$", "")
+    names = [F.nullif(F.btrim(F.regexp_extract(said, p.replace("(?i)", "(?id)"), 1), F.lit(" .!")), F.lit("")) for p in fixed.EXPLICIT_PLACEMENTS]
+    return F.coalesce(*names)
 
 
 def first_sentences(body: Column, most_words: int = 36) -> Column:
@@ -238,3 +240,21 @@ def first_sentences(body: Column, most_words: int = 36) -> Column:
         return let(first(s, fixed.DEFINITION_CUES, F.lit(0)), lambda d: examples(s, d))
 
     return let(sentences(body), of)
+
+
+def initial_markdown(definition: Column, example: Column, summary: Column) -> Column:
+    """The text that editing starts from: the parts that there are, each with its heading."""
+    parts = [F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"**{n}:** "), c)) for n, c in (("Definition", definition), ("Example", example), ("Summary", summary))]
+    return F.array_join(F.array_compact(F.array(*parts)), "\n\n")
+
+
+def regenerate_content(notes: DataFrame, existing: DataFrame, force: bool = False, body: str = "raw_transcript") -> DataFrame:
+    """``note_id, definition, example, summary, method``: content written anew, but not over a model's unless ``force``.
+
+    Blank notes keep what they have.
+    """
+    held = existing.where(F.col("method") == "llm") if not force else existing.where("false")
+    open_ = notes.where(F.trim(F.coalesce(body, F.lit(""))) != "").join(held.select("note_id"), "note_id", "left_anti")
+    new = open_.select("note_id", first_sentences(F.col(body)).alias("c")).select("note_id", "c.*", F.lit("extractive").alias("method"))
+    kept = existing.join(new.select("note_id"), "note_id", "left_anti").select("note_id", "definition", "example", "summary", "method")
+    return kept.unionByName(new)

@@ -10,6 +10,8 @@ from notemill.functions.text import let
 from notemill.operators import vectors as vec
 
 FEW_WORDS, KEPT_SHARE, LEAST_CHANGED = 8, 0.25, 2
+#: Groups whose mean vectors may be broadcast, 2 KB each.
+MOST_GROUPS = 5000
 
 
 def overview(notes: DataFrame) -> DataFrame:
@@ -50,15 +52,20 @@ def cut_words(body: Column, most: int) -> Column:
     return let(words, lambda w: F.when(F.size(w) <= most, F.trim(body)).otherwise(F.concat(F.array_join(F.slice(w, 1, most), " "), F.lit("..."))))
 
 
-def group_summaries(notes: DataFrame, by: str, body: str = "raw_transcript", most: int = 12) -> DataFrame:
+def group_summaries(notes: DataFrame, by: str, body: str = "raw_transcript", most: int = 12, members: DataFrame | None = None) -> DataFrame:
     """The note nearest to its group's mean hashed vector, cut to a number of words.
 
-    Vectors stay sparse: means are sums by group and bucket, and the score of a note joins on them.
+    ``members`` (``by, note_id``) says which notes are in which groups, if a column of the notes doesn't. A note keeps its
+    words' buckets as one row and meets its group's mean as an array, so a large group is no hot key of a large join.
     """
-    sparse = vec.embed_sparse(notes.where(F.trim(body) != ""), "note_id", body).join(notes.select("note_id", by), "note_id")
-    mean = sparse.groupBy(by, "bucket").agg(F.sum("weight").alias("m"))
-    norm = mean.groupBy(by).agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm"))
-    near = sparse.join(mean, [by, "bucket"]).groupBy(by, "note_id").agg(F.sum(F.col("weight") * F.col("m")).alias("dot")).join(norm, by).select(by, "note_id", (F.floor(F.col("dot") / F.col("norm") * 1e6 + 0.5) / 1e6).alias("score"))
+    members = notes.select(by, "note_id") if members is None else members.select(by, "note_id")
+    sparse = vec.embed_sparse(notes.where(F.trim(body) != ""), "note_id", body)
+    held = sparse.groupBy("note_id").agg(F.collect_list(F.struct("bucket", "weight")).alias("v")).join(members, "note_id")
+    mean = held.select(by, F.explode("v").alias("x")).groupBy(by, F.col("x.bucket").alias("bucket")).agg(F.sum("x.weight").alias("m"))
+    sums = mean.groupBy(by).agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm"), F.map_from_entries(F.collect_list(F.struct("bucket", "m"))).alias("held"))
+    means = sums.select(by, "norm", F.transform(F.sequence(F.lit(0), F.lit(vec.DIM - 1)), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0.0))).alias("mean"))
+    dot = F.aggregate("v", F.lit(0.0), lambda s, x: s + x["weight"] * F.get("mean", x["bucket"]))
+    near = held.join(vec.fitting(means, MOST_GROUPS), by).select(by, "note_id", (F.floor(dot / F.col("norm") * 1e6 + 0.5) / 1e6).alias("score"))
     best = near.groupBy(by).agg(F.max(F.struct("score", (-F.col("note_id")).alias("k"))).alias("x")).select(by, (-F.col("x.k")).alias("note_id"))
     return best.join(notes.select("note_id", body), "note_id").select(by, "note_id", cut_words(F.col(body), most).alias("summary"))
 

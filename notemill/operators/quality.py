@@ -98,7 +98,7 @@ def score_notes(notes: DataFrame, body: str = "raw_transcript", confidence: str
     """All metrics of each note, rounded to four places."""
     column = F.col(body)
     own = notes.select("note_id", min_max(flesch(column), 0, 100).alias("readability"), cohesion(column).alias("cohesion"), F.size(text.words(column)).cast("long").alias("word_count"), F.size(text.sentences(column)).cast("long").alias("sentence_count"), F.least(F.greatest(F.col(confidence) if confidence else F.lit(1.0), F.lit(0.0)), F.lit(1.0)).alias("transcription_confidence"))
-    spread = tk.entropy(tk.word_counts(tk.tokens(notes, body)), "note_id", "frequency")
+    spread = tk.note_entropy(notes, body)
     all_ = own.join(coherence(notes, body), "note_id").join(spread, "note_id", "left").withColumn("entropy", F.coalesce("entropy", F.lit(0.0)))
     four = [rounded(F.col(c)).alias(c) for c in ("readability", "cohesion", "coherence", "entropy", "transcription_confidence")]
     score = F.bround(quality(F.col("readability"), F.col("cohesion"), F.col("coherence"), F.col("entropy")), 4)

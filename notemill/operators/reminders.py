@@ -157,9 +157,12 @@ def pieces(n: int, m: int, cutoff: float) -> list[tuple[int, int]]:
     return [(m * j // k, m * (j + 1) // k) for j in range(k)]
 
 
-def match_names(names: DataFrame, known: DataFrame, cutoff: float, other: bool = False) -> DataFrame:
+def match_names(names: DataFrame, known: DataFrame, cutoff: float, other: bool = False, by: str | None = None, last: bool = False) -> DataFrame:
     """Best known name of each name by ratio, exact ones first: ``name, match, ratio``.
 
+    With ``by``, only names with the same value of that column are compared, and it leads the result. Of equally near
+    names the first in order is taken, the last one if ``last``.
+
     At the cutoff a pair differs by so many dropped or added characters at most; a known name cut into one part
     more has a part that the other name holds unchanged, moved no further than those characters allow. Parts are
     the join key, so no pair at the cutoff is lost. ``other`` leaves equal names out.
@@ -180,12 +183,13 @@ def match_names(names: DataFrame, known: DataFrame, cutoff: float, other: bool =
                         out.add(f"{n} {m} {j} {name[at : at + b - a]}")
         return list(out)
 
-    pairs = names.select("name", F.explode(places("name")).alias("b")).join(known.select(F.col("name").alias("match"), F.explode(parts("name")).alias("b")), "b").select("name", "match").distinct()
+    same = [by] if by else []
+    pairs = names.select(*same, "name", F.explode(places("name")).alias("b")).join(known.select(*same, F.col("name").alias("match"), F.explode(parts("name")).alias("b")), [*same, "b"]).select(*same, "name", "match").distinct()
     if other:
         pairs = pairs.where("name <> match")
     n, m = F.length("name"), F.length("match")
     pairs = pairs.where(2 * F.least(n, m) >= cutoff * (n + m)).withColumn("ratio", sequence_ratio(F.col("match"), F.col("name"))).where(F.col("ratio") >= cutoff)
-    order = Window.partitionBy("name").orderBy(F.desc("ratio"), "match")
+    order = Window.partitionBy(*same, "name").orderBy(F.desc("ratio"), F.desc("match") if last else "match")
     return pairs.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
 
 

@@ -15,6 +15,8 @@ from notemill.operators import vectors as vec
 MAX_CHARS, OVERLAP = 900, 120
 VECTOR_SHARE, FLOOR, TOP = 0.65, 0.08, 5
 MOST_QUERIES = 100_000
+#: Query vectors that may be broadcast, 2 KB each.
+MOST_VECTORS = 5000
 
 
 def rounded(value: Column, places: int = 6) -> Column:
@@ -51,7 +53,7 @@ def query_keywords(query: Column) -> Column:
 
 def fitting(queries: DataFrame) -> DataFrame:
     """Broadcast when counted to be few."""
-    return F.broadcast(queries) if queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES else queries
+    return vec.fitting(queries, MOST_QUERIES)
 
 
 def allowed(subjects: str = "subjects", topics: str = "topics", kinds: str = "note_types", after: str = "after", before: str = "before") -> Column:
@@ -61,25 +63,48 @@ def allowed(subjects: str = "subjects", topics: str = "topics", kinds: str = "no
     return within("source", subjects) & within("topic_name", topics) & within("note_type", kinds) & F.coalesce(time, F.lit(False))
 
 
-def lexical_scores(queries: DataFrame, notes: DataFrame, body: str = "raw_transcript") -> DataFrame:
-    """Share of a query's keywords that occur in the note; notes with none are left out."""
-    said = notes.select("note_id", text.match_text(F.col(body)).alias("said"))
-    terms = fitting(queries.select("query_id", query_keywords(F.col("query")).alias("terms")).where(F.size("terms") > 0))
-    both = said.join(terms, F.expr("exists(terms, t -> contains(said, t))"))
-    return both.select("query_id", "note_id", (F.size(F.expr("filter(terms, t -> contains(said, t))")) / F.size("terms")).alias("lexical"))
+def keyword_words(terms: DataFrame, words: DataFrame) -> DataFrame:
+    """``term, word`` of different keywords and the different words of the notes that hold them.
 
+    A word meets only keywords that start with three characters it has in a row, which every keyword has at least.
+    """
+    grams = words.where(F.length("word") > 2).select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: F.substring("word", i, F.lit(3))))).alias("gram"))
+    wanted = terms.select("term").distinct().withColumn("gram", F.substring("term", 1, 3))
+    return grams.join(fitting(wanted), "gram").where(F.contains("word", "term")).select("term", "word")
 
-def vector_scores(queries: DataFrame, notes: DataFrame, body: str = "raw_transcript", chunk_limit: int | None = None) -> DataFrame:
-    """Cosine of hashed vectors, for pairs that share a keyword as a substring too.
 
-    ``chunk_limit`` keeps only that many best per query before the keyword test.
+def lexical_scores(queries: DataFrame, notes: DataFrame, body: str = "raw_transcript") -> DataFrame:
+    """Share of a query's keywords that occur in the note, inside words too; notes with none are left out.
+
+    Keywords have no blanks, so they are looked up in the dictionary of words, and notes are met by word.
     """
-    q = vec.embed_sparse(queries.select("query_id", "query"), "query_id", "query", normalize=True)
-    n = vec.embed_sparse(notes.select("note_id", body), "note_id", body, normalize=True)
-    scored = vec.sparse_cosine(fitting(q), n, "query_id", "note_id").withColumn("vector", rounded(F.col("score"))).drop("score")
-    if chunk_limit:
-        scored = vec.top_k(scored, "query_id", "note_id", chunk_limit, "vector").drop("rank")
-    return scored
+    terms = queries.select("query_id", query_keywords(F.col("query")).alias("terms")).where(F.size("terms") > 0).select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    words = notes.select("note_id", F.explode(F.array_distinct(text.match_tokens(F.col(body)))).alias("word"))
+    hits = keyword_words(terms, words.select("word").distinct())
+    wanted = hits.join(terms, "term").select("word", "query_id", "term", "n")
+    return words.join(fitting(wanted), "word").groupBy("query_id", "note_id").agg((F.countDistinct("term") / F.first("n")).alias("lexical"))
+
+
+def hashed(rows: DataFrame, key: str, body: str) -> DataFrame:
+    """``key, v`` with a row's buckets as one array."""
+    return vec.embed_sparse(rows.select(key, body), key, body, normalize=True).groupBy(key).agg(F.collect_list(F.struct("bucket", "weight")).alias("v"))
+
+
+def pair_scores(pairs: DataFrame, queries: DataFrame, notes: DataFrame, body: str = "raw_transcript") -> DataFrame:
+    """Cosine of hashed vectors for given pairs ``query_id, note_id``; pairs without a common bucket are left out."""
+    asked = hashed(queries, "query_id", "query").select("query_id", F.transform(F.sequence(F.lit(0), F.lit(vec.DIM - 1)), lambda i: F.coalesce(F.try_element_at(F.map_from_entries("v"), i), F.lit(0.0))).alias("q"))
+    both = pairs.select("query_id", "note_id").join(hashed(notes, "note_id", body), "note_id").join(vec.fitting(asked, MOST_VECTORS), "query_id")
+    score = F.aggregate("v", F.lit(0.0), lambda s, x: s + x["weight"] * F.get("q", x["bucket"]))
+    return both.select("query_id", "note_id", rounded(F.least(score, F.lit(1.0))).alias("vector"), score.alias("s")).where("s > 0").drop("s")
+
+
+def vector_topk(queries: DataFrame, notes: DataFrame, k: int, body: str = "raw_transcript") -> DataFrame:
+    """``query_id, note_id, vector, rank``: the notes nearest to each query, which are a stated set scored in blocks."""
+    asked = vec.densify(vec.embed_sparse(queries.select("query_id", "query"), "query_id", "query", normalize=True), "query_id")
+    said = vec.densify(vec.embed_sparse(notes.select("note_id", body), "note_id", body, normalize=True), "note_id")
+    scored = vec.block_scores(said, asked.select(F.col("query_id").alias("candidate"), F.col("embedding").alias("centroid")), "note_id").where("score > 0")
+    rows = scored.select(F.col("candidate").alias("query_id"), "note_id", rounded(F.least("score", F.lit(1.0))).alias("vector"))
+    return vec.top_k(rows, "query_id", "note_id", k, "vector")
 
 
 def fuse(vector: DataFrame, lexical: DataFrame, share: float = VECTOR_SHARE) -> DataFrame:
@@ -96,12 +121,11 @@ def best(fused: DataFrame, floor: float = FLOOR, k: int = TOP) -> DataFrame:
 def hybrid_search(queries: DataFrame, notes: DataFrame, body: str = "raw_transcript", k: int = TOP) -> DataFrame:
     """``query_id, note_id, vector, lexical, score, matched_by, rank``.
 
-    Vector matches without a shared keyword are hash collisions and drop out, so they are
-    joined with the lexical matches; notes found by keyword alone stay.
+    Vector matches without a shared keyword are hash collisions and drop out, so only the lexical
+    matches are scored; notes found by keyword alone stay.
     """
     lexical = lexical_scores(queries, notes, body)
-    vector = vector_scores(queries, notes, body).join(lexical.select("query_id", "note_id"), ["query_id", "note_id"], "left_semi")
-    return best(fuse(vector, lexical), k=k)
+    return best(fuse(pair_scores(lexical, queries, notes, body), lexical), k=k)
 
 
 def browse(queries: DataFrame, notes: DataFrame, k: int = TOP) -> DataFrame:
@@ -112,10 +136,11 @@ def browse(queries: DataFrame, notes: DataFrame, k: int = TOP) -> DataFrame:
 
 
 def dense_search(queries: DataFrame, index: DataFrame, k: int = TOP, vector: str = "embedding") -> DataFrame:
-    """Nearest rows of an index of dense vectors; queries have ``query_id`` and a vector."""
-    q = fitting(queries.select("query_id", F.col(vector).alias("qv")))
-    scored = index.crossJoin(q).select("query_id", "vec_id", rounded(F.least(F.greatest(vec.cosine(F.col("qv"), F.col(vector)), F.lit(0.0)), F.lit(1.0))).alias("score"))
-    return vec.top_k(scored, "query_id", "vec_id", k)
+    """Nearest rows of an index of dense vectors; queries, a stated set, have ``query_id`` and a vector and are scored in blocks."""
+    asked = queries.select(F.col("query_id").alias("candidate"), F.col(vector).alias("centroid"))
+    scored = vec.block_scores(index, asked, "vec_id", vector)
+    rows = scored.select(F.col("candidate").alias("query_id"), "vec_id", rounded(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))).alias("score"))
+    return vec.top_k(rows, "query_id", "vec_id", k)
 
 
 # ---- answers ----

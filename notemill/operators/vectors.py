@@ -10,6 +10,11 @@ from notemill.functions import fixed, text
 DIM = 256
 
 
+def fitting(df: DataFrame, most: int) -> DataFrame:
+    """Broadcast when counted to have ``most`` rows at most."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def bucket(token: Column, dim: int = DIM) -> Column:
     return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % dim).cast("int")
 
@@ -65,6 +70,32 @@ def top_k(scored: DataFrame, query_key: str, doc_key: str, k: int, score: str =
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: Candidates that lie in one array; each row meets every block of them.
+BLOCK = 256
+
+
+def block_scores(rows: DataFrame, candidates: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
+    """``key, candidate, score``: cosine of each row with each of ``candidate, centroid``, for a stated set of candidates.
+
+    Candidates are dealt into blocks of about ``BLOCK``; a row joins on the block and scores it as an array, so a
+    ranking that follows can cut the scores before anything is shuffled. Nulls score 0.
+    """
+    blocks = -(-candidates.count() // BLOCK)
+    if not blocks:
+        return rows.select(key).where("false").crossJoin(candidates.select("candidate").where("false")).withColumn("score", F.lit(0.0))
+    dealt = candidates.withColumn("block", F.pmod(F.xxhash64("candidate"), F.lit(blocks)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("candidate", F.col("centroid").cast("array<double>").alias("c"))).alias("held"))
+    met = rows.select(key, F.col(vector).cast("array<double>").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(dealt, "block")
+    scores = F.transform("held", lambda x: F.struct(x["candidate"].alias("candidate"), cosine(F.col("v"), x["c"]).alias("score")))
+    return met.select(key, F.explode(scores).alias("x")).select(key, "x.candidate", "x.score")
+
+
+def best_candidate(rows: DataFrame, candidates: DataFrame, key: str, least: float, vector: str = "embedding") -> DataFrame:
+    """``key, candidate, score``: the candidate nearest to each row, from ``least`` on; the first in order on a tie."""
+    scored = block_scores(rows, candidates, key, vector).withColumn("score", F.floor(F.col("score") * 1e6 + 0.5) / 1e6)
+    order = Window.partitionBy(key).orderBy(F.desc("score"), "candidate")
+    return scored.where(F.col("score") >= least).withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
+
+
 def feature_vectors(rows: DataFrame, vector: str, kinds: dict[str, tuple[list, float]]) -> Column:
     """A vector followed by weighted one-hot categories, each in sorted order."""
     parts = [F.col(vector)]

@@ -84,7 +84,7 @@ def c03(spark, sf_dir):
     return rm.resolve_contacts(people, 0.82, graphs.components)
 
 
-@query("c06_notes_for_contact", f"WITH {SPOKEN_SQL} SELECT name, count(*) AS notes FROM (SELECT CASE note_id % 9 WHEN 0 THEN 'Mensah' WHEN 1 THEN 'Okafor' WHEN 6 THEN 'Lena' END AS name FROM spoken) WHERE name IS NOT NULL GROUP BY ALL")
+@query("c06_notes_for_contact", f"WITH {SPOKEN_SQL}, n AS (SELECT note_id, regexp_extract(raw_transcript, '\\b(?:Doctor|Professor|Call)\\s+(Mensah|Okafor|Lena)\\b', 1) AS name FROM spoken) SELECT name, count(DISTINCT note_id) AS notes FROM n WHERE name <> '' GROUP BY ALL")
 def c06(spark, sf_dir):
     people = en.people(spoken_notes(spark, sf_dir)).where("value IN ('Mensah', 'Okafor', 'Lena')")
     return people.groupBy(F.col("value").alias("name")).agg(F.countDistinct("note_id").alias("notes"))

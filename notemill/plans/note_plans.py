@@ -64,12 +64,20 @@ def e06(spark, sf_dir):
     return en.dates(spoken_notes(spark, sf_dir))
 
 
-@query("e07_extract_times", f"WITH {SPOKEN_SQL}, d AS (SELECT note_id, unnest(regexp_extract_all(raw_transcript, '{lit(en.TIME)}')) AS value FROM spoken) SELECT note_id, trim(value) AS value, CASE WHEN value LIKE '3:30%' THEN '15:30:00' END AS normalized FROM d")
+MERIDIEM_SQL = lit(rf"\b(\d{{1,2}})(?:[:.](\d{{2}}))?\s*({en.MERIDIEM})")
+TIMES_SQL = SPOKEN_SQL + rf""", d AS (SELECT note_id, unnest(regexp_extract_all(raw_transcript, '{lit(en.TIME)}')) AS value FROM spoken), g AS (SELECT *, lower(value) AS l FROM d),
+c AS (SELECT note_id, value, try_cast(regexp_extract(l, '{MERIDIEM_SQL}', 1) AS INT) AS h, coalesce(try_cast(regexp_extract(l, '{MERIDIEM_SQL}', 2) AS INT), 0) AS m, replace(regexp_extract(l, '{MERIDIEM_SQL}', 3), '.', '') AS half,
+  try_cast(regexp_extract(l, '\b(\d{{1,2}})\s*o''?clock\b', 1) AS INT) AS o, try_cast(regexp_extract(l, '\b(\d{{1,2}}):(\d{{2}})\b', 1) AS INT) AS h24, try_cast(regexp_extract(l, '\b(\d{{1,2}}):(\d{{2}})\b', 2) AS INT) AS m24 FROM g),
+times AS (SELECT note_id, value, CASE WHEN half <> '' THEN CASE WHEN h BETWEEN 1 AND 12 AND m < 60 THEN printf('%02d:%02d:00', CASE WHEN half = 'pm' AND h <> 12 THEN h + 12 WHEN half = 'am' AND h = 12 THEN 0 ELSE h END, m) END
+  WHEN o IS NOT NULL THEN CASE WHEN o BETWEEN 1 AND 12 THEN printf('%02d:00:00', o) END WHEN h24 BETWEEN 0 AND 23 AND m24 < 60 THEN printf('%02d:%02d:00', h24, m24) END AS normalized, half = '' AND coalesce(coalesce(o, h24) BETWEEN 1 AND 12, false) AS ambiguous FROM c)"""
+
+
+@query("e07_extract_times", f"WITH {TIMES_SQL} SELECT note_id, trim(value) AS value, normalized FROM times")
 def e07(spark, sf_dir):
     return en.times(spoken_notes(spark, sf_dir)).select("note_id", "value", "normalized")
 
 
-@query("e08_time_is_ambiguous")
+@query("e08_time_is_ambiguous", f"WITH {TIMES_SQL} SELECT note_id, trim(value) AS value, ambiguous FROM times")
 def e08(spark, sf_dir):
     return en.times(spoken_notes(spark, sf_dir)).select("note_id", "value", en.time_is_ambiguous(F.col("value")).alias("ambiguous"))
 
@@ -118,14 +126,25 @@ def e17(spark, sf_dir):
     return spoken_notes(spark, sf_dir).select("note_id", email.alias("email"), phone.alias("phone"))
 
 
-@query("e18_detect_event_mention", f"WITH {SPOKEN_SQL} SELECT note_id, CASE WHEN note_id % 9 = 8 THEN 'Meeting' END AS event FROM spoken")
+EVENT_SQL = lit(rf"(?i)\b(?:i\s+have(?:\s+got)?|i['’]ve\s+got|i\s+got|there(?:['’]s|\s+is)|my)\s+(?:a|an|the)?\s*({'|'.join(fixed.EVENTS)})\b")
+
+
+@query("e18_detect_event_mention", f"WITH {SPOKEN_SQL}, w AS (SELECT note_id, regexp_extract(raw_transcript, '{EVENT_SQL}', 1) AS w FROM spoken) SELECT note_id, CASE WHEN w <> '' THEN upper(w[1]) || lower(w[2:]) END AS event FROM w")
 def e18(spark, sf_dir):
     return spoken_notes(spark, sf_dir).select("note_id", en.event_mention(F.col("raw_transcript")).alias("event"))
 
 
-@query("e19_detect_explicit_placement", f"WITH {SPOKEN_SQL} SELECT note_id, CASE WHEN note_id % 9 = 5 THEN 'operating systems' END AS subject FROM spoken")
+#: Instructions at the end of notes, by turns.
+ASKED = [" File this under my Operating Systems project.", " put it under {topic}", " this belongs in {topic} topic!", " Organise this under X.", "", " nothing to file"]
+ASKED_SQL = "CASE note_id % 6 " + " ".join(f"WHEN {i} THEN replace('{x}', '{{topic}}', topic_name)" for i, x in enumerate(ASKED)) + " END"
+PLACE_SQL = "coalesce(" + ", ".join(f"nullif(trim(regexp_extract(t, '{lit(p)}', 1), ' .!'), '')" for p in fixed.EXPLICIT_PLACEMENTS) + ")"
+
+
+@query("e19_detect_explicit_placement", f"WITH {SPOKEN_SQL}, a AS (SELECT note_id, regexp_replace(raw_transcript || {ASKED_SQL}, '^\\s+|\\s+$', '', 'g') AS t FROM spoken) SELECT note_id, {PLACE_SQL} AS subject FROM a")
 def e19(spark, sf_dir):
-    return spoken_notes(spark, sf_dir).select("note_id", en.explicit_placement(F.col("raw_transcript")).alias("subject"))
+    """Spoken notes that end in an instruction, or not."""
+    end = F.replace(F.get(F.array(*[F.lit(x) for x in ASKED]), (F.col("note_id") % len(ASKED)).cast("int")), F.lit("{topic}"), F.col("topic_name"))
+    return spoken_notes(spark, sf_dir).select("note_id", en.explicit_placement(F.concat("raw_transcript", end)).alias("subject"))
 
 
 # ---- utterances ----
@@ -317,10 +336,9 @@ def content(spark, sf_dir):
     return spoken_notes(spark, sf_dir).select("note_id", en.first_sentences(F.col("raw_transcript")).alias("c")).select("note_id", "c.*")
 
 
-@query("g17_initial_markdown", f"WITH {CONTENT_SQL} SELECT note_id, array_to_string(list_filter([definition, example, summary], lambda x: x <> ''), chr(10) || chr(10)) AS markdown FROM content")
+@query("g17_initial_markdown", f"WITH {CONTENT_SQL} SELECT note_id, array_to_string(list_filter([CASE WHEN definition <> '' THEN '**Definition:** ' || definition END, CASE WHEN example <> '' THEN '**Example:** ' || example END, CASE WHEN summary <> '' THEN '**Summary:** ' || summary END], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS markdown FROM content")
 def g17(spark, sf_dir):
-    parts = F.filter(F.array("definition", "example", "summary"), lambda x: x != "")
-    return content(spark, sf_dir).select("note_id", F.array_join(parts, "\n\n").alias("markdown"))
+    return content(spark, sf_dir).select("note_id", en.initial_markdown(F.col("definition"), F.col("example"), F.col("summary")).alias("markdown"))
 
 
 @query("g18_note_content", f"WITH {CONTENT_SQL} SELECT * FROM content")
@@ -389,11 +407,11 @@ def c01(spark, sf_dir):
     return read(spark, sf_dir, "supplier").select("s_suppkey", rm.normalize_name(F.concat(F.lit("Dr. "), "s_name")).alias("key"))
 
 
-@query("c02_match_contact", "SELECT substr(n_name, 2) AS name, n_name AS match FROM nation WHERE length(n_name) > 9")
+@query("c02_match_contact", "SELECT DISTINCT p_name || right(p_name, 1) AS name, p_name AS match FROM part UNION SELECT DISTINCT p_name, p_name FROM part")
 def c02(spark, sf_dir):
-    """Names that lost their first letter against the full ones."""
-    known = read(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
-    heard = known.where(F.length("name") > 9).select(F.expr("substring(name, 2)").alias("name"))
+    """Names of parts, and the same with the last letter twice, against all of them."""
+    known = read(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
+    heard = known.select(F.concat("name", F.right("name", F.lit(1))).alias("name")).unionByName(known)
     return rm.match_names(heard, known, 0.82).select("name", "match")
 
 

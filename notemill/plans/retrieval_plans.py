@@ -73,13 +73,13 @@ def h03(spark, sf_dir):
     return rt.dense_search(rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), rows, 1)
 
 
-@query("h04_feature_matrix", "SELECT vec_id, len(embedding) + 3 + 10 AS width, CASE vec_id % 3 WHEN 0 THEN 0.3 ELSE 0.0 END AS academic, 0.6 AS own_label FROM embeddings")
+@query("h04_feature_matrix", """SELECT vec_id, list_concat(list_transform(embedding, lambda x: x::DOUBLE), list_transform([0, 1, 2], lambda i: CASE WHEN vec_id % 3 = i THEN 0.3::DOUBLE ELSE 0 END),
+  list_transform(range(10), lambda i: CASE WHEN label = i THEN 0.6::DOUBLE ELSE 0 END)) AS features FROM embeddings""")
 def h04(spark, sf_dir):
     kinds = F.get(F.array(*[F.lit(x) for x in ("academic", "brainstorm", "todo")]), (F.col("vec_id") % 3).cast("int"))
-    rows = read(spark, sf_dir, "embeddings").withColumn("note_type", kinds)
+    rows = read(spark, sf_dir, "embeddings").withColumn("note_type", kinds).withColumn("embedding", F.col("embedding").cast("array<double>"))
     features = vec.feature_vectors(rows, "embedding", {"note_type": (["academic", "brainstorm", "todo"], 0.3), "label": (list(range(10)), 0.6)})
-    out = rows.select("vec_id", "label", features.alias("f"))
-    return out.select("vec_id", F.size("f").alias("width"), F.get("f", F.lit(64)).alias("academic"), F.get("f", F.col("label") + 67).alias("own_label"))
+    return rows.select("vec_id", features.alias("features"))
 
 
 @query("h05_neighbour_pairs", f"WITH {PAIRS_SQL} SELECT label, a, b, {r6('distance', 5)} AS distance FROM pairs")
@@ -115,9 +115,8 @@ def h10(spark, sf_dir):
 SELECT vec_id, topic, score FROM s WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, topic) = 1""")
 def h11(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings")
-    topics = F.broadcast(vec.centroids(rows, "label").withColumnRenamed("label", "topic"))
-    scored = rows.crossJoin(topics).select("vec_id", "topic", rt.rounded(vec.cosine(F.col("embedding"), F.col("centroid"))).alias("score")).where("score >= 0.3")
-    return vec.top_k(scored, "vec_id", "topic", 1).drop("rank")
+    topics = vec.centroids(rows, "label").withColumnRenamed("label", "candidate")
+    return vec.best_candidate(rows, topics, "vec_id", 0.3).withColumnRenamed("candidate", "topic")
 
 
 @query("r01_chunk_text")
@@ -148,7 +147,7 @@ def r03(spark, sf_dir):
 
 @query("r04_vector_topk", f"WITH {SEARCH_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vector DESC, note_id) AS rank FROM vector) SELECT query_id, note_id, vector, rank FROM r WHERE rank <= 15")
 def r04(spark, sf_dir):
-    return vec.top_k(rt.vector_scores(questions(spark, sf_dir), notes(spark, sf_dir)), "query_id", "note_id", 15, "vector")
+    return rt.vector_topk(questions(spark, sf_dir), notes(spark, sf_dir), 15)
 
 
 @query("r05_query_keywords", f"WITH {SEARCH_SQL} SELECT query_id, list_sort(terms) AS terms FROM terms")
@@ -159,8 +158,7 @@ def r05(spark, sf_dir):
 @query("r06_collision_guard", f"WITH {SEARCH_SQL} SELECT query_id, count(*) AS n FROM guarded GROUP BY ALL")
 def r06(spark, sf_dir):
     q, n = questions(spark, sf_dir), notes(spark, sf_dir)
-    kept = rt.vector_scores(q, n).join(rt.lexical_scores(q, n), ["query_id", "note_id"], "left_semi")
-    return kept.groupBy("query_id").agg(F.count("*").alias("n"))
+    return rt.pair_scores(rt.lexical_scores(q, n), q, n).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
 @query("r07_best_chunk_per_note")
@@ -181,7 +179,7 @@ def r08(spark, sf_dir):
 def r09(spark, sf_dir):
     q, n = questions(spark, sf_dir), notes(spark, sf_dir)
     lexical = rt.lexical_scores(q, n)
-    return rt.fuse(rt.vector_scores(q, n).join(lexical.select("query_id", "note_id"), ["query_id", "note_id"], "left_semi"), lexical)
+    return rt.fuse(rt.pair_scores(lexical, q, n), lexical)
 
 
 @query("r10_rank_and_floor", f"WITH {SEARCH_SQL} SELECT query_id, note_id, score, rank FROM found")

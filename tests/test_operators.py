@@ -111,18 +111,31 @@ def test_sessions(spark):
     assert [(r["first"], r["last"], r.segments) for r in segments.sessions(rows, 20).orderBy("session").collect()] == [(0.0, 8.0, 3), (100.0, 104.0, 2)]
 
 
-DIALOGUE = [(1, 0, "Meeting", None, None, False), (1, 60, None, "2024-01-05", None, False), (1, 120, None, None, "15:00:00", False), (2, 0, "Exam", None, None, False), (2, 4000, None, "2024-01-05", None, False), (3, 0, "Call", "2024-01-06", "03:00:00", True), (3, 10, None, None, "15:00:00", False), (4, 0, None, None, None, False)]
+#: User, second, note, said, day, clock, ambiguous, event, task.
+DIALOGUE = [
+    (1, 0, 10, "I have a meeting", None, None, False, "Meeting", None), (1, 60, 11, "on the fifth", "2024-01-05", None, False, None, None), (1, 120, 12, "at three", None, "03:00:00", True, None, None), (1, 150, 13, "hm", None, None, False, None, None), (1, 180, 14, "in the afternoon", None, None, False, None, None),
+    (2, 0, 20, "an exam", None, None, False, "Exam", None), (2, 4000, 21, "on the fifth", "2024-01-05", None, False, None, None),
+    (3, 0, 30, "a call at 3", None, "03:00:00", True, "Call", None), (3, 10, 31, "what", None, None, False, None, None), (3, 20, 32, "the sixth", "2024-01-06", None, False, None, None), (3, 30, 33, "AM", None, None, False, None, None),
+    (4, 0, 40, "a plain note", None, None, False, None, None), (4, 9, 41, "submit it by Friday", "2024-01-05", None, False, None, "Submit it"),
+    (5, 0, 50, "submit my Essay", None, None, False, None, "Submit my Essay"), (5, 5, 51, "the eighth", "2024-01-08", None, False, None, None), (5, 9, 52, "12:00", None, "12:00:00", True, None, None), (5, 12, 53, "p.m.", None, None, False, None, None),
+    (6, 0, 60, "interview", "2024-01-02", "15:30:00", False, "Interview", None),
+]
 
 
 def dialogue(spark):
-    rows = [(u, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s), *x) for u, s, *x in DIALOGUE]
-    return spark.createDataFrame(rows, "user_id long, ts timestamp, title string, day string, clock string, ambiguous boolean")
+    rows = [(u, n, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s), *x) for u, s, n, *x in DIALOGUE]
+    return spark.createDataFrame(rows, "user_id long, note_id long, ts timestamp, said string, day string, clock string, ambiguous boolean, event string, task string")
 
 
 def test_dialogue_replay(spark):
-    out = jobs.replay_dialogue(dialogue(spark)).orderBy("user_id", "ts").collect()
-    assert [(r.title, r.due) for r in out if r.due] == [("Meeting", "2024-01-05 15:00:00"), ("Call", "2024-01-06 15:00:00")]
-    assert [r.reply for r in out if r.user_id == 2] == ["Which day is Exam?", ""]
+    out = {r.note_id: r for r in jobs.spoken_replies(jobs.replay_dialogue(dialogue(spark))).collect()}
+    assert {n: r.due for n, r in out.items() if r.due} == {14: "2024-01-05 15:00:00", 33: "2024-01-06 03:00:00", 53: "2024-01-08 12:00:00", 60: "2024-01-02 15:30:00"}
+    assert [out[n].reply for n in (10, 11, 12, 13, 14)] == ["Which date do you have the meeting?", "When is your meeting?", "Is it AM or PM?", "Sorry, I didn't catch that. Is it AM or PM?", "Reminder set. You have a meeting on Friday at 3 pm."]
+    assert [out[n].reply for n in (20, 21, 40, 41)] == ["Which date do you have the meeting?", None, None, None]
+    assert [out[n].reply for n in (30, 31, 32)] == ["Which date do you have the meeting?", "Sorry, I didn't catch a date. Which date do you have the meeting?", "Is it AM or PM?"]
+    assert [out[n].reply for n in (50, 51)] == ["What date do you need to submit my essay?", "What time do you need to submit my essay?"] and out[60].reply == "Reminder set. You have an interview tomorrow at 3:30 pm."
+    notes = dialogue(spark).select("note_id")
+    assert {r.note_id for r in jobs.suppress_notes(notes, jobs.replay_dialogue(dialogue(spark))).collect()} == {21, 40, 41}
 
 
 def test_streams_equal_batches(spark, tmp_path):
@@ -134,7 +147,7 @@ def test_streams_equal_batches(spark, tmp_path):
     seen = []
     alerts = stream.select(F.col("user_id").alias("reminder_id"), "ts")
     jobs.run_once(jobs.alert_once(alerts), lambda df, i: seen.extend(df.collect()), f"{tmp_path}/c2")
-    assert sorted(r.reminder_id for r in seen) == [1, 2, 3, 4]
+    assert sorted(r.reminder_id for r in seen) == [1, 2, 3, 4, 5, 6]
     write = jobs.note_writer(f"{tmp_path}/notes", lambda df: df.select("user_id"))
     jobs.run_once(stream, write, f"{tmp_path}/c3")
     jobs.run_once(stream, write, f"{tmp_path}/c3")

@@ -51,7 +51,7 @@ def plain_themes(scored, most_themes, most_topics):
         share = max(1, round(left * round(weight / total, 4))) if left > 0 else 1
         topics = topics[: max(1, min(share, left or 1))]
         left = max(0, left - len(topics))
-        out[name] = (round(weight / total, 9), topics)
+        out[name.title()] = (round(weight / total, 4), topics)
     return out
 
 
@@ -121,3 +121,45 @@ def test_models_train_in_full(spark):
     assert len(counter.vocabulary) == 21000 and lda.getMaxIter() == 50
     model = models.word2vec(notes.selectExpr("note_id", "substring(raw_transcript, 1, 200) AS raw_transcript"))
     assert model.getMaxIter() == 30 and model.getVectorSize() == 100
+
+
+def test_a_note_of_one_repeated_word(spark):
+    from notemill.operators import tokens as tk
+
+    notes = spark.createDataFrame([(1, "foo foo foo foo"), (2, ""), (3, "other words stay other words")], "note_id long, raw_transcript string")
+    table = tk.tokens(notes)
+    assert [(r["first"], r.second, r.frequency) for r in tk.collocations(table).where("note_id = 1").collect()] == [("foo", "foo", 3)]
+    got = {(r.note_id, r.term): r.score for r in tk.candidate_terms(table).collect()}
+    for note, text in ((1, "foo foo foo foo"), (3, "other words stay other words")):
+        assert {t: s for (n, t), s in got.items() if n == note} == tk.note_terms(text.split())
+    assert {r.note_id for r in tk.extract_themes(notes).collect()} == {1, 3}
+
+
+def test_entropy_and_score_of_notes(spark):
+    """Q06 and Q08 to Q11: entropy over theme weights for notes with several themes, over words for others."""
+    import math
+
+    from notemill.operators import quality
+    from notemill.operators import tokens as tk
+
+    long = " ".join(f"word{i * i % 211} thing{i % 97} matter{i % 13}." for i in range(400))
+    texts = ["kernel swaps pages while kernel threads wait", long, "same same same", "", "one"]
+    notes = spark.createDataFrame(list(enumerate(texts)), "note_id long, raw_transcript string")
+
+    def shares(weights):
+        total = sum(weights)
+        return 0.0 if len(weights) < 2 else -sum(w / total * math.log2(w / total) for w in weights if w) / math.log2(len(weights))
+
+    want = {}
+    for i, t in enumerate(texts):
+        words = [w.lower().strip(".") for w in t.split()]
+        kept = [r.word for r in tk.tokens(notes.where(f"note_id = {i}")).orderBy("pos").collect()]
+        themes = plain_themes(tk.note_terms(kept), max(1, min(9, round(len(words) / 217))), 10**6) if kept else {}
+        if kept:
+            want[i] = shares([w for w, _ in themes.values()]) if len(themes) > 1 else shares(list({w: kept.count(w) for w in kept}.values()))
+    assert len(plain_themes(tk.note_terms([r.word for r in tk.tokens(notes.where("note_id = 1")).orderBy("pos").collect()]), 6, 10**6)) > 1
+    got = {r.note_id: r.entropy for r in tk.note_entropy(notes).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-3 for i in want)
+    scored = {r.note_id: r for r in quality.score_notes(notes).collect()}
+    assert len(scored) == 5 and all(abs(r.quality_score - (r.readability + r.cohesion + r.coherence + 1 - r.entropy) / 4) < 2e-4 for r in scored.values())
+    assert all(abs(scored[i].entropy - round(want.get(i, 0.0), 4)) < 1e-3 for i in scored)
