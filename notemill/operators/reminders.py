@@ -165,17 +165,20 @@ def match_names(names: DataFrame, known: DataFrame, cutoff: float, other: bool =
 
     At the cutoff a pair differs by so many dropped or added characters at most; a known name cut into one part
     more has a part that the other name holds unchanged, moved no further than those characters allow. Parts are
-    the join key, so no pair at the cutoff is lost. ``other`` leaves equal names out.
+    the join key, so no pair at the cutoff is lost. Only lengths that names of the other side have are tried, so a long text
+    among short names costs nothing. ``other`` leaves equal names out.
     """
+    lengths = lambda rows: {r[0] for r in rows.select(F.length("name")).distinct().collect() if r[0]}  # noqa: E731  # as many as there are lengths
+    heard_lengths, known_lengths = lengths(names), lengths(known)
 
     @F.udf("array<string>")
     def parts(match):
-        return [f"{n} {m} {j} {match[a:b]}" for m in [len(match or "")] if m for n in partners(m, cutoff) for j, (a, b) in enumerate(pieces(n, m, cutoff))]
+        return [f"{n} {m} {j} {match[a:b]}" for m in [len(match or "")] if m for n in partners(m, cutoff) if n in heard_lengths for j, (a, b) in enumerate(pieces(n, m, cutoff))]
 
     @F.udf("array<string>")
     def places(name):
         n, out = len(name or ""), set()
-        for m in partners(n, cutoff):
+        for m in known_lengths.intersection(partners(n, cutoff)):
             most = n + m - 2 * least_shared(n, m, cutoff)
             for j, (a, b) in enumerate(pieces(n, m, cutoff)):
                 for at in range(max(0, a - most), min(n - (b - a), a + most) + 1):
