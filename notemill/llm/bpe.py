@@ -6,7 +6,8 @@ crosses any of its inner boundaries, and whether a merge crosses a boundary
 depends on the two tokens beside it alone. So all adjacent pairs of a batch are
 tested at once with numpy; only pieces with a failing pair are merged one merge
 at a time. Pieces repeat a lot, hence every batch works on its different pieces
-and a bounded table keeps those of earlier batches.
+and a bounded table keeps those of earlier batches. Texts with characters outside the
+vectorised cutter's table are normalised and cut by the library, their pieces encoded like all others.
 
 Nothing is shuffled: each document is encoded where it is read, in slices of
 about ``STEP_BYTES``. Defined results: null or empty text has no ids and decodes
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 from collections.abc import Iterator
 from functools import cache
 
@@ -44,18 +46,26 @@ def byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def library_of(path: str):
+    """The library's tokenizer, whole texts, on the one core that Spark gives a task."""
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    found = Tokenizer.from_file(path)
+    found.no_truncation()
+    found.no_padding()
+    return found
+
+
 class WordBpe:
     """A vocabulary with word ends, read from a tokenizers file."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.library = library_of(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        stand, suffix = byte_of(), spec["model"]["end_of_word_suffix"]
+        self.stand = stand = byte_of()
+        suffix = spec["model"]["end_of_word_suffix"]
         self.special = [x["content"].encode() for x in spec["added_tokens"]]
         names: dict[int, str] = {i: s for s, i in spec["model"]["vocab"].items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
         added = {x["id"] for x in spec["added_tokens"]}
@@ -198,7 +208,19 @@ class WordBpe:
         kinds, index = distinct(pieces)
         found = self.encode_pieces(kinds)
         ids, at = lay_out(found, index, bounds)
-        return weave(ids, at, usual, {int(i): np.array(self.library.encode(texts.row(i).decode(), add_special_tokens=False).ids, np.int64) for i in odd}, len(texts)) if len(odd) else (ids, at)
+        return weave(ids, at, usual, {int(i): self.encode_odd(texts.row(i)) for i in odd}, len(texts)) if len(odd) else (ids, at)
+
+    def encode_odd(self, raw: bytes) -> np.ndarray:
+        """Ids of a text with characters outside the table: the library normalises and cuts it, its pieces are encoded as all others.
+
+        Only a text that holds a special token's own string is left to the library.
+        """
+        text = raw.decode()
+        if any(s in raw for s in self.special):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int64)
+        cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        pieces = [bytes(map(self.stand.__getitem__, p)) for p, _ in cut if p]
+        return np.frombuffer(b"".join(self.encode_pieces(pieces)), "<u4").astype(np.int64)
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
         """The decoded texts, special tokens included."""

@@ -29,6 +29,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from notemill.llm.bpe import REMEMBERED, lay_out, weave
+from notemill.llm.bpe import REMEMBERED, lay_out, library_of, weave
 from notemill.llm.common import Texts, distinct, scratch, steps
 from notemill.llm.pretoken import byte_pieces, classes, unusual
 
@@ -54,11 +55,7 @@ class ByteBpe:
     """The byte-level vocabulary: the library encodes each different piece once per batch."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.library = library_of(path)
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.unsafe = ~classes()[1]
         self.known: dict[bytes, bytes] = {}
@@ -71,11 +68,16 @@ class ByteBpe:
         kinds, index = distinct(pieces)
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known = self.known
-        if new := [p for p in kinds if p not in known]:
-            for p, e in zip(new, self.library.encode_batch([p.decode() for p in new], add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        ids, at = lay_out([known[p] for p in kinds], index, bounds)
+        found = list(map(self.known.get, kinds))
+        if new := [i for i, ids in enumerate(found) if ids is None]:
+            made = [e.ids for e in self.library.encode_batch_fast([kinds[i].decode() for i in new], add_special_tokens=False)]
+            ends = np.cumsum(np.fromiter(map(len, made), np.int64, len(made))).tolist()
+            raw = np.fromiter(chain.from_iterable(made), "<u4", ends[-1]).tobytes()
+            start = 0
+            for i, end in zip(new, ends, strict=True):
+                found[i] = self.known[kinds[i]] = raw[4 * start : 4 * end]
+                start = end
+        ids, at = lay_out(found, index, bounds)
         if not len(odd):
             return ids, at
         return weave(ids, at, usual, {int(i): np.array(self.library.encode(texts.row(i).decode(), add_special_tokens=False).ids, np.int64) for i in odd}, len(texts))
