@@ -13,14 +13,14 @@ Steps, all column expressions and joins:
 4. Verification. Weighted Jaccard similarity of the shingles, a shingle weighing the
    number of letters in it: the sum of smaller over the sum of larger weights, counts included.
 
-The benchmark side of both joins is broadcast when it is counted to fit in
-``BROADCAST_BYTES``; beyond that the joins shuffle, and no key is hot on the document side
-because windows are keyed by document first and adaptive execution splits what remains.
+The benchmark side of the joins is broadcast when it is counted to fit in
+``BROADCAST_BYTES``; beyond that they shuffle keys, places and fingerprints, never words. Words are read again
+for documents that share a shingle, and join by key; the index join has no words either.
 
 Words are runs of letters and digits, lower-cased. Items and texts with fewer than
-``SHINGLE`` words have one shingle, all their words. Null and empty texts match nothing.
-Repeated item rows match alike, repeated document ids are taken as one document's text
-rows and reported once.
+``SHINGLE`` words have one shingle, all their words; longer texts are searched for such items by shingles of
+their size. Null and empty texts match nothing. Repeated item rows match alike; repeated document ids are taken as one
+document's text rows and reported once; of equally similar windows the first counts.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notemill.llm.common import let, small
+from notemill.llm.common import let, small, stash
 
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, BLOCKS = 64, 16
@@ -96,24 +96,38 @@ def fitting(df: DataFrame, row_bytes: int) -> DataFrame:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Best window of each document and item of ``least`` similarity: ``key, item_id, similarity, distance, start_word, n_words``."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
-    items = items.select("item_id", "words", F.size("words").alias("n"), simhash(F.col("words")).alias("print"))
+    items = stash(items.select("item_id", "words", F.size("words").alias("n"), simhash(F.col("words")).alias("print")), "items")
+    short = sorted(r.n for r in items.where(F.col("n") < SHINGLE).select("n").distinct().collect())  # SHINGLE - 1 values at most
     places = items.select("n", F.posexplode(shingles(F.col("words"))).alias("offset", "shingle")).groupBy("shingle").agg(F.collect_set(F.struct("n", "offset")).alias("places"))
 
-    split = docs.select(F.col(f"`{key}`").alias("k"), words_of(F.col(text)).alias("words"))
-    seen = split.select("k", "words", F.posexplode(shingles(F.col("words"))).alias("pos", "shingle"))
-    hits = seen.join(fitting(places, 100), "shingle").select("k", "words", "pos", F.explode("places").alias("p"))
-    aligned = hits.select("k", "words", F.col("p.n").alias("n"), (F.col("pos") - F.col("p.offset")).alias("at"), (1 + F.floor(F.col("p.n") / SHIFT)).cast("int").alias("d"))
-    last = F.greatest(F.size("words") - F.col("n"), F.lit(0))
-    low, high = F.least(F.greatest(F.col("at") - F.col("d"), F.lit(0)), last), F.least(F.greatest(F.col("at") + F.col("d"), F.lit(0)), last)
-    around = aligned.select("k", "n", low.alias("low"), high.alias("high"), F.slice("words", low + 1, high - low + F.col("n")).alias("near")).groupBy("k", "n", "low", "high").agg(F.first("near").alias("near"))
-    windows = around.select("k", "n", "low", "near", F.explode(F.sequence("low", "high")).alias("start")).select("k", "start", "n", F.slice("near", F.col("start") - F.col("low") + 1, F.col("n")).alias("window"))
-
-    prints = windows.withColumn("wprint", simhash(F.col("window"))).withColumn("b", F.explode(blocks(F.col("wprint"))))
-    index = items.withColumn("b", F.explode(blocks(F.col("print")))).select("item_id", F.col("n").alias("m"), "print", F.col("words").alias("item"), F.col("b").alias("c"))
-    pairs = prints.join(fitting(index, 1000), (F.col("n") == F.col("m")) & (F.col("b.block") == F.col("c.block")) & (F.col("b.value") == F.col("c.value")))
+    # keys and places only, until a document is known to share a shingle
+    plain = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
+    split = plain.select("k", words_of(F.col("t")).alias("words"))
+    seen = split.select("k", F.size("words").alias("size"), F.posexplode(shingles(F.col("words"))).alias("pos", "shingle"))
+    for n in short:  # texts hold items of fewer words too
+        runs = F.when(F.size("words") >= SHINGLE, F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i, n=n: F.xxhash64(F.concat_ws(" ", F.slice("words", i + 1, n)))))
+        seen = seen.unionByName(split.select("k", F.size("words").alias("size"), F.posexplode(runs).alias("pos", "shingle")))
+    hits = seen.join(fitting(places, 100), "shingle").select("k", "size", "pos", F.explode("places").alias("p"))
+    at, d = F.col("pos") - F.col("p.offset"), (1 + F.floor(F.col("p.n") / SHIFT)).cast("int")
+    last = F.greatest(F.col("size") - F.col("p.n"), F.lit(0))
+    low, high = F.least(F.greatest(at - d, F.lit(0)), last), F.least(F.greatest(at + d, F.lit(0)), last)
+    spots = hits.select("k", F.struct(F.col("p.n").alias("n"), low.alias("low"), high.alias("high")).alias("spot")).groupBy(F.col("k").alias("sk")).agg(F.collect_set("spot").alias("spots"))
+    spots = stash(spots, "spots")
+    found = plain.join(fitting(spots, 400), F.col("k").eqNullSafe(F.col("sk"))).select("k", words_of(F.col("t")).alias("words"), "spots")
+    starts = F.array_distinct(F.flatten(F.transform("spots", lambda x: F.transform(F.sequence(x["low"], x["high"]), lambda i: F.struct(x["n"].alias("n"), F.least(i, F.greatest(F.size("words") - x["n"], F.lit(0))).alias("start"))))))
+    windows = found.select("k", "words", F.explode(starts).alias("w")).select("k", "w.n", "w.start", F.slice("words", F.col("w.start") + 1, F.col("w.n")).alias("window")).where(F.size("window") > 0)
+    windows = windows.withColumn("wprint", simhash(F.col("window"))).withColumn("id", F.xxhash64("window"))
+    windows = stash(windows, "windows")
+
+    prints = windows.select("k", "n", "start", "id", "wprint", F.explode(blocks(F.col("wprint"))).alias("b"))
+    index = items.withColumn("b", F.explode(blocks(F.col("print")))).select("item_id", F.col("n").alias("m"), "print", F.col("b").alias("c"))
+    pairs = prints.join(fitting(index, 100), (F.col("n") == F.col("m")) & (F.col("b.block") == F.col("c.block")) & (F.col("b.value") == F.col("c.value")))
     near = pairs.withColumn("distance", F.bit_count(F.col("wprint").bitwiseXOR(F.col("print")))).where(F.col("distance") <= RADIUS)
-    once = near.groupBy("k", "start", "n", "item_id").agg(F.first("window").alias("window"), F.first("item").alias("item"), F.first("distance").alias("distance"))
-    scored = once.withColumn("similarity", similarity(weights(F.col("window")), weights(F.col("item")))).where(F.col("similarity") >= least)
+    near = stash(near.select("k", "n", "start", "id", "item_id", "distance").distinct(), "near")
+    same = ["n", "start", "id"]
+    both = near.withColumnRenamed("k", "nk").join(windows.select("k", *same, "window"), [F.col("nk").eqNullSafe(F.col("k")), *[near[c] == windows[c] for c in same]]).select("k", near["n"], near["start"], "item_id", "distance", "window")
+    both = both.join(fitting(items.select(F.col("item_id").alias("i"), F.col("words").alias("item"), F.col("n").alias("m")), 1000), (F.col("item_id") == F.col("i")) & (F.col("n") == F.col("m")))
+    scored = both.withColumn("similarity", similarity(weights(F.col("window")), weights(F.col("item")))).where(F.col("similarity") >= least)
     best = scored.groupBy("k", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n", "distance")).alias("x"))
     return best.select(F.col("k").alias(key), "item_id", "x.similarity", "x.distance", (-F.col("x.back")).alias("start_word"), F.col("x.n").alias("n_words"))
 

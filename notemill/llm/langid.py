@@ -6,13 +6,15 @@ whose pieces are smallest in all is chosen. Pieces are short so that a long text
 cannot replace the dictionary by its own history. Text is lower-cased first.
 
 The sample is bounded: ``BINS`` documents per language at most, spread by a hash of
-the key, ``SLICE_CHARS`` characters of each, ``DICT_BYTES`` in all. Everything else
+the key. Each gives an equal share of its language's dictionary, in ``SLICES`` slices spread evenly over
+its whole text, so that all of the sample is used. Every language that was learned has a dictionary, of ``DICT_BYTES``
+or of its share of ``MODEL_BYTES`` when there are many. Everything else
 reads whole texts where they lie; nothing is shuffled but the sample's keys.
 
 Defined results: null text or text without a letter has language ``und``, score 0 and
 is rejected. On equal sizes the language with more training documents wins, then the
-first by name. A text of ``MIN_BYTES`` or more is rejected when the runner-up is
-less than ``margin`` larger; shorter ones carry too little to judge by and stay.
+first by name. A text is rejected when the runner-up is less than ``margin`` larger, whatever its length;
+for a text of a few bytes that means an equal size.
 Without any training row all texts are ``und``. Extra columns are ignored.
 """
 
@@ -29,11 +31,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BINS, SLICE_CHARS, DICT_BYTES = 64, 2048, 64 << 10
+BINS, SLICES, DICT_BYTES = 64, 8, 64 << 10
+#: All dictionaries together; what a task holds and a broadcast sends.
+MODEL_BYTES = 32 << 20
 PIECE_BYTES, LEVEL = 1024, 6
-#: Languages with the most training rows that get a dictionary.
-MOST_LANGUAGES = 100
-MARGIN, MIN_BYTES = 0.002, 64
+MARGIN = 0.002
 #: How fast the score rises with the runner-up's relative size.
 SHARPNESS = 40.0
 #: Letters, and a few numerals that the second test leaves out.
@@ -60,16 +62,26 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
     counts: dict[str, int] = {}
     for r in chosen:
         counts[r.l] = counts.get(r.l, 0) + r.n
-    langs = sorted(counts, key=lambda x: (-counts[x], x))[:MOST_LANGUAGES]
-    keys = [(r.k, r.l) for r in chosen if r.l in set(langs)]
-    if not keys:
+    langs = sorted(counts, key=lambda x: (-counts[x], x))
+    if not langs:
         return LanguageModel(())
-    wanted = train.sparkSession.createDataFrame(keys, f"k {train.schema[key].dataType.simpleString()}, l string").distinct()
-    slices = rows.join(F.broadcast(wanted), ["k", "l"]).select("l", order.alias("o"), F.substring("t", 1, SLICE_CHARS).alias("t"))
-    pieces: dict[str, dict[int, str]] = {}
-    for r in slices.groupBy("l", "o").agg(F.min("t").alias("t")).collect():
-        pieces.setdefault(r.l, {})[r.o] = r.t
-    return LanguageModel(tuple((x, "\n".join(t.lower() for _, t in sorted(pieces[x].items())).encode()[-DICT_BYTES:]) for x in langs))
+    held = {x: sum(r.l == x for r in chosen) for x in langs}
+    share = {x: min(DICT_BYTES, MODEL_BYTES // len(langs)) // held[x] for x in langs}
+    wanted = train.sparkSession.createDataFrame([(r.k, r.l, share[r.l]) for r in chosen], f"k {train.schema[key].dataType.simpleString()}, l string, take int")
+    joined = rows.join(F.broadcast(wanted), ["k", "l"]).select("l", order.alias("o"), sampled(F.col("t"), F.col("take")).alias("t"))
+    texts: dict[str, dict[int, str]] = {}
+    for r in joined.groupBy("l", "o").agg(F.min("t").alias("t")).collect():
+        texts.setdefault(r.l, {})[r.o] = r.t
+    dictionary = lambda x: b"\n".join(t.lower().encode()[: share[x]] for _, t in sorted(texts[x].items()))
+    return LanguageModel(tuple((x, dictionary(x)) for x in langs))
+
+
+def sampled(text: Column, take: Column) -> Column:
+    """``take`` characters of a text in slices with even gaps between them; all of a shorter one."""
+    size = F.floor(take / SLICES).cast("int")
+    room = F.length(text) - size
+    slices = F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda i: F.substring(text, F.floor(room * i / (SLICES - 1)).cast("int") + 1, size))
+    return F.when(F.length(text) <= take, text).otherwise(F.array_join(slices, ""))
 
 
 @lru_cache(maxsize=4)
@@ -93,13 +105,13 @@ def decide(text: str | None, model: LanguageModel, margin: float = MARGIN) -> tu
     best = int(sizes.argmin())
     over = sizes / sizes[best] - 1
     score = float(1 / np.exp(-SHARPNESS * over).sum())
-    narrow = len(raw) >= MIN_BYTES and len(sizes) > 1 and float(np.delete(over, best).min()) < margin
+    narrow = len(sizes) > 1 and float(np.delete(over, best).min()) < margin
     return model.dictionaries[best][0], score, narrow
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", margin: float = MARGIN) -> DataFrame:
     """``docs`` with ``lang_pred string, lang_score double, lang_rejected boolean``; the inputs are the texts alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_LANGUAGES * DICT_BYTES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_BYTES
 
     docs = docs.drop("lang_pred", "lang_score", "lang_rejected")  # columns of these names are replaced
     text_at = docs.columns.index(text)

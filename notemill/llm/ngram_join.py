@@ -3,14 +3,14 @@
 A document is the set of its runs of ``NGRAM`` words (words have no ASCII white space). Two documents
 are linked when the Jaccard similarity of their sets is at least ``SIMILARITY``.
 
-1. Signatures: ``BANDS`` bands of ``ROWS`` minimum hashes. At similarity s a pair meets in some band
-   with chance 1 - (1 - s^r)^b, 0.9996 at 0.8; ``bands_for`` chooses such numbers for a target.
+1. Signatures: bands of minimum hashes. At similarity s a pair meets in one of b bands of r rows with chance
+   1 - (1 - s^r)^b; ``bands_for`` chooses both numbers for the similarity and ``RECALL``: 20 bands of 5 at 0.8, which meet with chance 0.9996.
 2. Equal sets become one vertex that counts its copies; copies never meet each other again.
 3. Vertices are shuffled by band hash. Buckets with the same members (a pair of near copies
    meets in most bands) are kept once, found by count and checksums of the members.
 4. Verification on full sets. A bucket is cut into blocks of at most ``BLOCK`` members and
    ``BLOCK_GRAMS`` n-grams by a hash of the vertex, and each pair of blocks is one group of an
-   Arrow task. A pair of vertices is looked at in the first band where it meets only. A
+   Arrow task; a bucket of n different sets sends each of them once for each of its blocks, n / ``BLOCK`` or so. A pair of vertices is looked at in the first band where it meets only. A
    group returns one row per member: its number of links and the root of its linked
    members. So pairs never become rows, whatever a bucket's size, and none is skipped.
 5. Connected components over (member, root) give classes.
@@ -33,9 +33,8 @@ from pyspark.sql import functions as F
 from notemill.llm.common import Texts, distinct, small, stash, steps
 from notemill.llm.components import components
 
-NGRAM, SIMILARITY = 5, 0.8
-BANDS, ROWS = 20, 5
-BLOCK, BLOCK_GRAMS = 100, 400_000
+NGRAM, SIMILARITY, RECALL = 5, 0.8, 0.9995
+BLOCK, BLOCK_GRAMS = 400, 1_000_000
 BROADCAST_BYTES = 24 << 20
 #: Columns of the 0/1 matrix whose product counts shared n-grams.
 WIDTH = 4096
@@ -175,8 +174,9 @@ def verify(band: int, side: np.ndarray, v: np.ndarray, copies: np.ndarray, marks
     return links, root
 
 
-def ngram_join(docs: DataFrame, least: float = SIMILARITY, n: int = NGRAM, bands: int = BANDS, rows: int = ROWS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key, class_id, n_links``, one row per row of ``docs``."""
+def ngram_join(docs: DataFrame, least: float = SIMILARITY, n: int = NGRAM, recall: float = RECALL, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``key, class_id, n_links``, one row per row of ``docs``; a pair at ``least`` is met with a chance of ``recall`` or more."""
+    bands, rows = bands_for(least, recall)
     plain = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
     marked = stash(signatures(plain, bands, rows, n), "signatures")
     sets = stash(marked.where("k IS NOT NULL AND v IS NOT NULL").groupBy("v", "grams", "bands").agg(F.min("k").alias("rep"), F.count("*").alias("copies")), "sets")

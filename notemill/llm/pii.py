@@ -16,7 +16,8 @@ gaps and i matches. Patterns are possessive and start only where a run starts (o
 the match before ended), which changes no match but keeps the time linear on long runs.
 
 Everything happens inside a row: no shuffle, no Python. Null text counts as empty;
-repeated rows give repeated results; other columns are carried along.
+repeated rows give repeated results; an empty table gives an empty one; of two matches of one kind that overlap the first
+stands, and an added one that overlaps a base one goes; columns with the names of span columns are replaced, others carried along.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notemill.functions.text import running, running_sums
 from notemill.llm.common import let
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
@@ -63,11 +65,9 @@ def matches(text: Column, pattern: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def place(values: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-        # running length of gap and match, as a fold that keeps the starts
-        steps = F.zip_with(F.slice(let(gaps, lambda g: F.transform(g, F.length)), 1, F.size(values)), F.transform(values, F.length), lambda g, v: F.struct(g.alias("g"), v.alias("v")))
-        empty = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts"))
-        starts = F.aggregate(steps, empty, lambda s, x: F.struct((s["end"] + x["g"] + x["v"]).alias("end"), F.concat(s["starts"], F.array(s["end"] + x["g"])).alias("starts")), lambda s: s["starts"])
+        gaps = F.transform(F.split(text, pattern, -1), F.length)
+        sizes = let(F.transform(values, F.length), lambda n: F.zip_with(F.slice(gaps, 1, F.size(n)), n, lambda g, v: g + v))
+        starts = F.zip_with(running_sums(sizes), values, lambda e, v: e - F.length(v))
         return F.zip_with(starts, values, lambda s, v: F.struct(s.alias("start"), v.alias("value")))
 
     return let(found, lambda values: F.when(F.size(values) > 0, place(values)).otherwise(F.array().cast("array<struct<start:int,value:string>>")))
@@ -147,16 +147,22 @@ def redact(found: DataFrame, text: str = "text") -> DataFrame:
     """Replaces each span of ``find_pii`` by ``<kind>`` and drops the span columns.
 
     Spans may overlap; then the one that starts first stands (the longer on a tie) and the rest of the other is cut away with it.
+    Texts without spans stay as they are, null ones too; repeated rows give repeated results.
     """
     every = F.array_sort(F.flatten(F.array(*[F.transform(f"pii_{k}", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))) for k in BASE_KINDS + ADDED_KINDS])))
     whole = F.col(text)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        gap = F.when(x["start"] >= s["at"], F.concat(F.substring(whole, s["at"] + 1, x["start"] - s["at"]), F.lit("<"), x["kind"], F.lit(">"))).otherwise("")
-        return F.struct(F.greatest(s["at"], -x["back"]).alias("at"), F.concat(s["out"], F.array(gap)).alias("out"))
+    def cut(spans: Column) -> Column:
+        ends = running(F.transform(spans, lambda x: -x["back"]), lambda a, b: F.greatest(a, b))
 
-    clean = F.aggregate(every, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(whole, s["at"] + 1, F.length(whole))))
+        def of(ends: Column) -> Column:
+            before = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
+            piece = lambda x, i: let(before(i), lambda at: F.when(x["start"] >= at, F.concat(F.substring(whole, at + 1, x["start"] - at), F.lit("<"), x["kind"], F.lit(">"))).otherwise(""))
+            return F.concat(F.array_join(F.transform(spans, piece), ""), F.substring(whole, F.element_at(ends, -1) + 1, F.length(whole)))
+
+        return let(ends, of)
+
+    clean = let(every, cut)
     names = [c for c in found.columns if c not in {f"pii_{k}" for k in BASE_KINDS + ADDED_KINDS}]
     touched = F.size(every) > 0
     return found.withColumn(text, F.when(touched, clean).otherwise(whole)).select(*[F.col(f"`{c}`") for c in names])

@@ -5,7 +5,7 @@ white space and the rest, then merge inside each piece. Here the cuts of a whole
 batch are found with numpy, so that Python only ever sees each *different* piece
 once. Texts with characters outside the table below (code points of 0x3000 and
 more, combining marks, characters whose normal form differs, unassigned ones,
-special-token strings) are left to the tokenizers library as whole texts.
+special-token strings) are cut by the tokenizers library.
 """
 
 from __future__ import annotations

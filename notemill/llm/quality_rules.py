@@ -4,17 +4,17 @@ Each rule compares one figure of a text with a cutoff. The cutoff is chosen per
 stratum (language) from a fixed grid: the strictest one whose share of falsely
 rejected good documents is at most ``ALPHA / rules``, shown on labelled holdout
 documents by the exact binomial test. All tests of all strata together are wrong
-with probability ``DELTA`` at most (Bonferroni over strata, rules and grid points), and the
+with probability ``DELTA`` at most (Bonferroni over all strata with labels, rules and grid points), and the
 rules together reject at most ``ALPHA`` of a stratum's good documents. Where the
 labels cannot show that much, a rule has no cutoff and rejects nothing.
 
 Figures come from column expressions inside a row. Only their few numbers are written
-down, joined with labels and counted per stratum; the table of cutoffs has at most
-``STRATA * rules`` rows and becomes part of the final expression.
+down, joined with labels and counted per stratum; each document meets its stratum's cutoffs by a join.
+Every language is a stratum of its own, however few labels it has.
 
 Words are runs without ASCII white space. Null text has no words; a text without words
-fails the base rule. Repeated rows give repeated results, a document labelled good
-more than once counts once per label row, null languages are a stratum.
+fails the base rule. Repeated rows give repeated results. In the holdout equal texts of a stratum count once, however
+often they occur or are labelled, since the test takes its documents as independent; null languages are a stratum.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notemill.llm.common import let, stash
+from notemill.llm.common import let, small, stash
 
 SPACE = r"[\x20\x09-\x0D]"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -33,9 +33,8 @@ WINDOW = 8
 #: Base rule: fewer words, or a larger share of repeated words in hundredths, fails.
 MIN_WORDS, MAX_REPEAT = 20, 30
 ALPHA, DELTA = 0.02, 0.05
-#: Languages with the most labelled rows that are strata of their own; the others form one.
-STRATA = 50
-OTHER = "*"
+#: Strata whose cutoffs may be broadcast.
+MOST_STRATA = 10_000
 #: Rule name, and cutoffs from strict to loose. All reject what is larger than the cutoff.
 RULES: dict[str, list[float]] = {
     "symbol_share": [0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2],
@@ -85,19 +84,20 @@ def repeat_words(words: Column) -> Column:
 
 
 def figures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with the counts and the figures of ``RULES``."""
+    """``docs`` without its text, with its hash ``_text``, the counts and the figures of ``RULES``."""
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
     rest = [c for c in docs.columns if c != text]
     out = docs.select(
         *[F.col(f"`{c}`") for c in rest],
+        F.xxhash64(whole, F.lit("text")).alias("_text"),
         let(words_of(whole), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).cast("long").alias("n_repeat_words"))).alias("_w"),
         F.length(F.translate(whole, BLANKS, "")).cast("long").alias("word_chars"),
         (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("_l"),
     )
     n = F.greatest(F.col("n_words"), F.lit(1))
-    return out.select(*[F.col(f"`{c}`") for c in rest], "_w.*", "word_chars", "n_symbols", "_l.*").withColumns(
+    return out.select(*[F.col(f"`{c}`") for c in rest], "_text", "_w.*", "word_chars", "n_symbols", "_l.*").withColumns(
         {
             "symbol_share": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)),
             "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
@@ -140,7 +140,7 @@ def cutoffs(holdout: DataFrame, rules: dict[str, list[float]] = RULES, alpha: fl
     grid = [(r, c) for r, cs in rules.items() for c in cs]
     counts = holdout.groupBy("stratum").agg(F.count("*").alias("n"), *[F.sum((F.col(r) > c).cast("long")).alias(f"k{i}") for i, (r, c) in enumerate(grid)])
     rows = counts.select("stratum", "n", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"k{i}").alias("k")) for i, (r, c) in enumerate(grid)])).alias("x")).select("stratum", "n", "x.*")
-    tests = len(grid) * (STRATA + 1)
+    tests = len(grid) * max(1, counts.count())
     safe = rows.withColumn("bound", binomial_tail(F.col("k"), F.col("n"), alpha / len(rules))).where(F.col("bound") <= delta / tests)
     return safe.groupBy("stratum", "rule").agg(F.min(F.struct("cutoff", "n", "k", "bound")).alias("x")).select("stratum", "rule", "x.*")
 
@@ -151,15 +151,12 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", key: str =
     ``labels`` has ``key`` and ``quality``; rows of quality 1 that pass the base rule are the holdout.
     """
     found = stash(figures(docs.select(key, "text", stratum).toDF("_key", "text", "_lang")), "figures")
-    good = found.where(~F.col("base_failed")).join(labels.where("quality = 1").select(F.col(key).alias("_key")), "_key")
-    most = [r[0] for r in good.groupBy("_lang").count().orderBy(F.desc("count"), F.asc_nulls_first("_lang")).limit(STRATA).collect()]
-    own = F.when(F.col("_lang").isNull(), "").otherwise(F.concat(F.lit("="), "_lang"))
-    names = ["" if x is None else f"={x}" for x in most]
-    level = F.when(own.isin(names), own).otherwise(OTHER) if names else F.lit(OTHER)
-    chosen = cutoffs(good.withColumn("stratum", level)).collect()  # at most (STRATA + 1) * rules rows
+    found = found.withColumn("_stratum", F.when(F.col("_lang").isNull(), "").otherwise(F.concat(F.lit("="), "_lang")))
+    labelled = labels.where("quality = 1").select(F.col(key).alias("_key")).distinct()
+    good = found.where(~F.col("base_failed")).join(labelled, "_key").dropDuplicates(["_stratum", "_text"]).withColumn("stratum", F.col("_stratum"))
+    limits = cutoffs(good).groupBy(F.col("stratum").alias("_stratum")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_limits"))
+    both = found.join(F.broadcast(limits) if small(limits, 1, MOST_STRATA) else limits, "_stratum", "left")
     rejected = F.lit(False)
     for rule in RULES:
-        limits = [x for r in chosen if r.rule == rule for x in (F.lit(r.stratum), F.lit(r.cutoff))]
-        if limits:
-            rejected = rejected | F.coalesce(F.col(rule) > F.element_at(F.create_map(*limits), level), F.lit(False))
-    return found.withColumn("kept", ~F.col("base_failed") & ~rejected).withColumnsRenamed({"_key": key, "_lang": stratum})
+        rejected = rejected | F.coalesce(F.col(rule) > F.try_element_at("_limits", F.lit(rule)), F.lit(False))
+    return both.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("_stratum", "_limits", "_text").withColumnsRenamed({"_key": key, "_lang": stratum})

@@ -342,3 +342,90 @@ def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101)] + [(200, x) for x in range(201, 230)], "a long, b long")
     labels = {r.v: r.label for r in components.components(links).collect()}
     assert {labels[i] for i in range(41)} == {0} and {labels[i] for i in (100, 101, 102)} == {100} and {labels[i] for i in range(200, 230)} == {200}
+
+
+def test_many_matches_in_one_text(spark):
+    """More matches than a fold could gather one by one, with some that stand and are cut out."""
+    t = "12 ab " * 50_000 + "write to a@b.co or 1.2.3.4 " * 600
+    found = pii.find_pii(spark.createDataFrame([(1, t)], "doc_id long, text string"))
+    row = found.select(pii.joined(pii.BASE_KINDS).alias("b")).first()
+    assert row.b == brute_pii(t)
+    assert pii.redact(found).first().text == "12 ab " * 50_000 + "write to <email> or <ip> " * 600
+
+
+# ---- 4 and 5 against plain versions ----
+
+
+def test_language_choice_against_plain_compression(spark, docs, awkward):
+    import zstandard
+
+    r = random.Random(9)
+    syllables = {f"l{i:03d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(4)] for i in range(130)}  # more than any cap
+    said = lambda x, n: " ".join("".join(r.choice(syllables[x]) for _ in range(r.randint(1, 3))) for _ in range(n))
+    rows = [(i * 130 + j, said(x, 60 if i else 4000), x) for i in range(3) for j, x in enumerate(syllables)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(train)
+    assert {x for x, _ in model.dictionaries} == set(syllables)
+    whole = 0
+    for x, raw in model.dictionaries:
+        first = next(t for _, t, y in rows if y == x)
+        assert len(raw) <= langid.DICT_BYTES + langid.BINS
+        if len(raw) > 9000:  # the long text was drawn: its end is in, as its start is
+            assert any(first[-300:][k : k + 40].encode() in raw for k in range(0, 260, 20)) and first[:100].encode() in raw
+            whole += 1
+    assert whole > 60
+    asked = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(awkward)] + [(1000 + j, said(x, n)) for j, x in enumerate(list(syllables)[:6]) for n in (1, 30)], "doc_id long, text string")
+
+    def plain(t):
+        if t is None or not any(c.isalpha() for c in t):
+            return "und", True
+        raw = t.lower().encode()
+        sizes = []
+        for _, known in model.dictionaries:
+            how = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, source_size=langid.PIECE_BYTES, dict_size=len(known), write_content_size=False, write_dict_id=False, write_checksum=False)
+            d = zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=how)
+            sizes.append(sum(len(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress(raw[i : i + langid.PIECE_BYTES])) for i in range(0, len(raw), langid.PIECE_BYTES)))
+        best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
+        return model.dictionaries[best][0], sorted(sizes)[1] / sizes[best] - 1 < langid.MARGIN
+
+    small = asked.where("length(text) < 2000 OR text IS NULL")
+    got = {(r.doc_id, r.text): (r.lang_pred, r.lang_rejected) for r in langid.identify(small, model).collect()}
+    assert got == {k: plain(k[1]) for k in got}
+    assert all(x == got[k][0] for j, x in enumerate(list(syllables)[:6]) for k in got if k[0] == 1000 + j and len(k[1]) > 60)
+
+
+def test_quality_verdict_against_plain_rules(spark):
+    """Cutoffs and verdicts of 60 strata from counted labels, by exact sums."""
+    from math import comb
+
+    r = random.Random(12)
+    word = lambda n: "".join(r.choice("abcdefg") for _ in range(n))
+    rows = []
+    for i in range(3000):
+        lang = None if i % 60 == 7 else f"x{i % 60}" if i % 5 == 0 else "big"
+        bad = i % 9 == 0
+        text = " ".join(word(14 if bad and i % 2 else r.randint(2, 6)) + ("##" if bad and i % 4 == 0 else "") for _ in range(r.randint(15, 40)))
+        rows.append((i, text, lang, int(not bad)))
+    rows += [(5000 + i, rows[1][1], "big", 1) for i in range(400)]  # copies of one text count once
+    docs_ = spark.createDataFrame([x[:3] for x in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, q) for i, _, _, q in rows] + [(i, q) for i, _, _, q in rows[:500]], "doc_id long, quality int")
+    got = {x.doc_id: x for x in quality_rules.judge(docs_, labels).collect()}
+    strata, seen = {}, set()
+    for i, t, lang, q in rows:
+        if q and not got[i].base_failed and (lang, t) not in seen:
+            seen.add((lang, t))
+            strata.setdefault(lang, []).append(got[i])
+    grid = [(rule, c) for rule, cs in quality_rules.RULES.items() for c in cs]
+    p, bar = quality_rules.ALPHA / len(quality_rules.RULES), quality_rules.DELTA / (len(grid) * len(strata))
+    limits = {}
+    for lang, xs in strata.items():
+        n = len(xs)
+        for rule, c in grid:
+            k = sum(x[rule] > c for x in xs)
+            tail = 1.0 if k >= n * p else sum(comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1))
+            if tail <= bar:
+                limits[lang, rule] = min(c, limits.get((lang, rule), c))
+    assert {x for x, _ in limits} == {"big"} and len(strata) > 50
+    assert {i: x.kept for i, x in got.items()} == {i: not x.base_failed and not any(x[rule] > limits.get((lang, rule), 1e9) for rule in quality_rules.RULES) for i, _, lang, _ in rows for x in [got[i]]}
+    assert not got[18].kept or not got[9].kept
