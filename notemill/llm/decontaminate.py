@@ -52,6 +52,11 @@ def shingles(words: Column) -> Column:
     return let(words, each)
 
 
+def runs_of(words: Column, n: int) -> Column:
+    """Hash of the run of n words at each position, for texts of n words or more."""
+    return F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(words, i + 1, n))))
+
+
 def simhash(words: Column) -> Column:
     """Bit b is set if the words whose hash has bit b outweigh the others; a word weighs its length."""
     hashed = F.transform(words, lambda w: F.struct(F.xxhash64(w, F.lit("fingerprint")).alias("h"), F.length(w).alias("n")))
@@ -105,8 +110,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = SIM
     split = plain.select("k", words_of(F.col("t")).alias("words"))
     seen = split.select("k", F.size("words").alias("size"), F.posexplode(shingles(F.col("words"))).alias("pos", "shingle"))
     for n in short:  # texts hold items of fewer words too
-        runs = F.when(F.size("words") >= SHINGLE, F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i, n=n: F.xxhash64(F.concat_ws(" ", F.slice("words", i + 1, n)))))
-        seen = seen.unionByName(split.select("k", F.size("words").alias("size"), F.posexplode(runs).alias("pos", "shingle")))
+        seen = seen.unionByName(split.where(F.size("words") >= SHINGLE).select("k", F.size("words").alias("size"), F.posexplode(runs_of(F.col("words"), n)).alias("pos", "shingle")))
     hits = seen.join(fitting(places, 100), "shingle").select("k", "size", "pos", F.explode("places").alias("p"))
     at, d = F.col("pos") - F.col("p.offset"), (1 + F.floor(F.col("p.n") / SHIFT)).cast("int")
     last = F.greatest(F.col("size") - F.col("p.n"), F.lit(0))

@@ -429,3 +429,68 @@ def test_quality_verdict_against_plain_rules(spark):
     assert {x for x, _ in limits} == {"big"} and len(strata) > 50
     assert {i: x.kept for i, x in got.items()} == {i: not x.base_failed and not any(x[rule] > limits.get((lang, rule), 1e9) for rule in quality_rules.RULES) for i, _, lang, _ in rows for x in [got[i]]}
     assert not got[18].kept or not got[9].kept
+
+
+def test_quality_classifier_against_plain_sums(spark, awkward):
+    """Evidence, priors, strengths and posteriors by plain loops."""
+    import math
+    import unicodedata
+
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefgHI#.!9") for _ in range(r.randint(1, 9)))
+    rows = [(i, " ".join(word() for _ in range(r.randint(0, 150))), r.choice(["a", "b", None, "rare" if i < 3 else "a"]), r.choice(["p", "q"])) for i in range(300)]
+    rows += [(1000 + n, t, "awk", None) for n, (_, t) in enumerate(awkward)]
+    labels = [(i, r.randint(0, 1)) for i in range(0, 200)] + [(5, 1), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {x.doc_id: x for x in quality_classifier.classify(df, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+
+    def bins(t):
+        t = t or ""
+        w, lines, n = WORDS.findall(t), t.split("\n"), max(len(t), 1)
+        share = lambda chars: sum(c in chars for c in t) / n
+        values = [len(w), sum(map(len, w)) / max(len(w), 1), share("#*$%&|<>"), sum(unicodedata.category(c) == "Lu" for c in t) / n, share("0123456789"), share(".,;:!?"), len(set(w)) / max(len(w), 1), len(set(lines)) / len(lines)]
+        return [sum(v >= e for e in edges) for v, edges in zip(values, quality_classifier.EDGES.values(), strict=True)]
+
+    held = {i: bins(t) for i, t, _, _ in rows}
+    known = [(held[i], q) for i, q in labels if q is not None]
+    good, bad = sum(q == 1 for _, q in known), sum(q != 1 for _, q in known)
+    evidence = {}
+    for i, b in held.items():
+        e = math.log(good / bad)
+        for f, edges in enumerate(quality_classifier.EDGES.values()):
+            g, m = (sum(x[f] == b[f] and (q == 1) == side for x, q in known) for side in (True, False))
+            e += quality_classifier.TEMPER * (math.log((g + 1) / (good + len(edges) + 1)) - math.log((m + 1) / (bad + len(edges) + 1)))
+        evidence[i] = e
+    c = {i: 1 / (1 + math.exp(-e)) for i, e in evidence.items()}
+    prior = sum(c.values()) / len(c)
+
+    def strength(sites):
+        """Of (number, mean, prior) per site."""
+        noise = sum(p * (1 - p) for _, _, p in sites)
+        total = sum(n for n, _, _ in sites)
+        between = (sum(n * (m - p) ** 2 for n, m, p in sites) - noise) / max(total - sum(n * n for n, _, _ in sites) / total, 1.0)
+        return min(max(noise / len(sites) / max(between, 1e-9) - 1, quality_classifier.STRENGTH[0]), quality_classifier.STRENGTH[1])
+
+    hosts, paths = {}, {}
+    for i, _, h, p in rows:
+        hosts.setdefault(h, []).append(c[i])
+        paths.setdefault((h, p), []).append(c[i])
+    m = strength([(len(x), sum(x) / len(x), prior) for x in hosts.values()])
+    host = {h: (sum(x) + m * prior) / (len(x) + m) for h, x in hosts.items()}
+    mp = strength([(len(x), sum(x) / len(x), host[h]) for (h, _), x in paths.items()])
+    odds = lambda p: math.log(max(p, 1e-6) / max(1 - p, 1e-6))
+    for i, _, h, p in rows:
+        alone = (sum(hosts[h]) - c[i] + m * prior) / (len(hosts[h]) - 1 + m)
+        there = (sum(paths[h, p]) - c[i] + mp * alone) / (len(paths[h, p]) - 1 + mp)
+        quality = 1 / (1 + math.exp(-(evidence[i] + odds(there) - odds(prior))))
+        x = got[i]
+        assert abs(x.evidence - evidence[i]) < 1e-9 and abs(x.host_quality - host[h]) < 1e-9 and abs(x.path_quality - there) < 1e-9 and abs(x.quality - quality) < 1e-9
+        assert x.kept == (quality >= quality_classifier.KEEP) or abs(quality - quality_classifier.KEEP) < 1e-9
+
+
+def test_short_items_and_repeated_keys_in_contamination(spark):
+    """Items of fewer words than a shingle, and rows that share a key but not their text."""
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "one two three four five six seven eight")], "item_id long, text string")
+    docs_ = spark.createDataFrame([(1, "long before alpha beta gamma and long after it too"), (2, "nothing of it in here at all today"), (3, "x y z one two three four five six seven eight w"), (3, "some other text entirely without any of that, only longer than the first by some words"), (4, "alpha beta gamma"), (None, "u one two three four five six seven eight")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in decontaminate.find_contamination(docs_, bench).collect()}
+    assert got == {(1, 1): 1.0, (3, 2): 1.0, (4, 1): 1.0, (None, 2): 1.0}
