@@ -100,8 +100,10 @@ def clean_note(text: Column) -> Column:
 
 
 def collapse_abbreviations(text: Column) -> Column:
-    """Periods leave runs of single letters with periods: those between two letters, and the one after the last."""
-    return F.regexp_replace(text, r"\.(?:(?<=\b[A-Za-z]\.)(?=[A-Za-z]\.)|(?<=\b(?:[A-Za-z]\.){2,20}))", "")
+    """Periods leave runs of single letters with periods, however long."""
+    run = r"\b(?:[A-Za-z]\.){2,}+"
+    bare = F.transform(F.regexp_extract_all(text, F.lit(run), F.lit(0)), lambda v: F.replace(v, F.lit("."), F.lit("")))
+    return F.array_join(F.zip_with(F.split(text, run, -1), bare, lambda gap, v: F.concat(gap, F.coalesce(v, F.lit("")))), "")
 
 
 def singularize(word: Column) -> Column:

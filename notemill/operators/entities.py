@@ -153,7 +153,7 @@ def tasks(notes: DataFrame, body: str = "raw_transcript") -> DataFrame:
     rows = exploded(notes, spans(text, TASK_CUE, 1)).select("*", F.lit(0.85).alias("confidence"), F.lit(0).alias("tier"))
     rows = rows.unionByName(exploded(notes, spans(text, IMPERATIVE, 1)).select("*", F.lit(0.60).alias("confidence"), F.lit(1).alias("tier")))
     bare = F.regexp_replace(F.btrim(F.trim("value"), F.lit(" ,;:")), r"^(?i:to|that|the)\s+", "")
-    rows = rows.withColumn("value", F.concat(F.upper(F.substring(bare, 1, 1)), F.substring(bare, 2, 10000))).where(F.size(F.split("value", r"\s+")) >= 2)
+    rows = rows.withColumn("value", F.concat(F.upper(F.substring(bare, 1, 1)), F.substring(bare, 2, 2**31 - 1))).where(F.size(F.split("value", r"\s+")) >= 2)
     return best_by_name(rows, "task")
 
 

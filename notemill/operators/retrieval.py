@@ -56,11 +56,22 @@ def fitting(queries: DataFrame) -> DataFrame:
     return vec.fitting(queries, MOST_QUERIES)
 
 
-def allowed(subjects: str = "subjects", topics: str = "topics", kinds: str = "note_types", after: str = "after", before: str = "before") -> Column:
-    """Join condition of a query's filters: null means no limit, both ends of the time are inside."""
-    within = lambda column, names: F.col(names).isNull() | F.array_contains(F.col(names), F.col(column))
-    time = (F.col(after).isNull() | (F.col("created_epoch") >= F.col(after))) & (F.col(before).isNull() | (F.col("created_epoch") <= F.col(before)))
-    return within("source", subjects) & within("topic_name", topics) & within("note_type", kinds) & F.coalesce(time, F.lit(False))
+ANY = "\u0000"
+
+
+def filtered(queries: DataFrame, notes: DataFrame) -> DataFrame:
+    """Notes that pass each query's filters, with the query's columns: null means no limit, both ends of the time are inside.
+
+    A query has a key for each subject, topic and type it allows, or one for any; a note has those of its own and of any, so
+    they meet by key. Without any filter each note is a result of the query.
+    """
+    one = lambda names: F.explode(F.when(F.col(names).isNull(), F.array(F.lit(ANY))).otherwise(F.array_distinct(names)))
+    own = lambda c: F.explode(F.array_distinct(F.array(F.coalesce(c, F.lit("")), F.lit(ANY))))
+    asked = queries.withColumn("f1", one("subjects")).withColumn("f2", one("topics")).withColumn("f3", one("note_types"))
+    held = notes.withColumn("k1", own("source")).withColumn("k2", own("topic_name")).withColumn("k3", own("note_type"))
+    within = (F.col("after").isNull() | (F.col("created_epoch") >= F.col("after"))) & (F.col("before").isNull() | (F.col("created_epoch") <= F.col("before")))
+    both = held.join(fitting(asked), (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")) & (F.col("k3") == F.col("f3"))).where(within)
+    return both.drop("f1", "f2", "f3", "k1", "k2", "k3")
 
 
 def keyword_words(terms: DataFrame, words: DataFrame) -> DataFrame:
@@ -131,7 +142,7 @@ def hybrid_search(queries: DataFrame, notes: DataFrame, body: str = "raw_transcr
 def browse(queries: DataFrame, notes: DataFrame, k: int = TOP) -> DataFrame:
     """Newest notes that pass the filters of queries without words."""
     order = Window.partitionBy("query_id").orderBy(F.desc("created_epoch"), "note_id")
-    found = notes.join(fitting(queries), allowed())
+    found = filtered(queries, notes)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "note_id", F.lit(1.0).alias("score"), "rank")
 
 

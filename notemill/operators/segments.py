@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notemill.functions import fixed
+from notemill.operators.vectors import fitting
 
 
 def confidence(segments: DataFrame, by: str = "recording_id") -> DataFrame:
@@ -56,7 +57,10 @@ def cap_sessions(segments: DataFrame, gap: float, cap: float, by: str = "recordi
 
 def damp_outliers(segments: DataFrame, tolerance: float = 12.0, reduction: float = 10.0, by: str = "recording_id") -> DataFrame:
     """Levels over the median by more than the tolerance are lowered."""
-    middle = segments.groupBy(by).agg(F.percentile("level", F.lit(0.5)).alias("median"))
+    known = segments.where("level IS NOT NULL").select(by, "level")
+    sizes = known.groupBy(by).agg(F.count("*").alias("n"))
+    ranked = known.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("level"))).join(sizes, by)  # sorted, never gathered
+    middle = ranked.where("place IN ((n + 1) DIV 2, n DIV 2 + 1)").groupBy(by).agg(F.avg("level").alias("median"))
     both = segments.join(middle, by)
     return both.withColumn("level", F.when(F.col("level") > F.col("median") + tolerance, F.col("level") - reduction).otherwise(F.col("level"))).drop("median")
 
@@ -78,7 +82,7 @@ def learn_languages(rows: DataFrame) -> DataFrame:
     """Smoothed log chances of words by language: ``word, lang, weight`` from ``lang, word``."""
     counts = rows.groupBy("lang", "word").agg(F.count("*").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    return counts.join(F.broadcast(totals), "lang").select("lang", "word", (F.log((F.col("n") + 1) / (F.col("total") + F.col("kinds"))) - F.log(1 / (F.col("total") + F.col("kinds")))).alias("weight"))
+    return counts.join(fitting(totals, 10_000), "lang").select("lang", "word", (F.log((F.col("n") + 1) / (F.col("total") + F.col("kinds"))) - F.log(1 / (F.col("total") + F.col("kinds")))).alias("weight"))
 
 
 def detect_languages(words: DataFrame, weights: DataFrame, key: str) -> DataFrame:

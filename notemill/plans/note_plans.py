@@ -290,13 +290,12 @@ def g12(spark, sf_dir):
     return links.join(links.groupBy("topic").agg(F.count("*").alias("notes")), "topic").select("note_id", "rank", "topic", "notes")
 
 
-@query("g13_related_notes", f"WITH {NOTES_SQL}, r AS (SELECT topic_name, note_id AS related, row_number() OVER (PARTITION BY topic_name ORDER BY created_epoch DESC, note_id DESC) AS place FROM notes QUALIFY place <= 5) SELECT n.note_id, related FROM notes n JOIN r USING (topic_name) WHERE n.note_id <> related")
+@query("g13_related_notes", f"WITH {NOTE_TOPICS_SQL}, c AS (SELECT topic, count(DISTINCT note_id) AS n FROM note_topics GROUP BY ALL) SELECT note_id, topic, n - 1 AS siblings FROM note_topics JOIN c USING (topic)")
 def g13(spark, sf_dir):
-    """The newest notes of a note's own topic; five per topic, so the result grows with the notes only."""
-    base = notes(spark, sf_dir)
-    order = Window.partitionBy("topic_name").orderBy(F.desc("created_epoch"), F.desc("note_id"))
-    newest = base.withColumn("place", F.row_number().over(order)).where("place <= 5").select("topic_name", F.col("note_id").alias("related"))
-    return base.select("note_id", "topic_name").join(newest, "topic_name").where("note_id <> related").select("note_id", "related")
+    """Notes that share a topic are related: each note with its topics and the number of other notes there, instead of all pairs."""
+    links = note_topics(spark, sf_dir)
+    sizes = links.groupBy("topic").agg(F.countDistinct("note_id").alias("n"))
+    return links.join(sizes, "topic").select("note_id", "topic", (F.col("n") - 1).alias("siblings"))
 
 
 @query("g14_topic_neighbours", f"WITH {EDGES_SQL}, b AS (SELECT topic_a AS topic, topic_b AS other FROM edges UNION ALL SELECT topic_b, topic_a FROM edges) SELECT topic, list(other ORDER BY other) AS neighbours FROM b GROUP BY ALL")

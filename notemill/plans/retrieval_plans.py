@@ -142,7 +142,7 @@ ALLOWED_SQL = "(subjects IS NULL OR list_contains(subjects, source)) AND (note_t
 
 @query("r03_retrieval_filter", f"WITH {FILTER_SQL} SELECT query_id, count(*) AS n FROM notes JOIN f ON {ALLOWED_SQL} GROUP BY ALL")
 def r03(spark, sf_dir):
-    return notes(spark, sf_dir).join(F.broadcast(filters(spark, sf_dir)), rt.allowed()).groupBy("query_id").agg(F.count("*").alias("n"))
+    return rt.filtered(filters(spark, sf_dir), notes(spark, sf_dir)).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
 @query("r04_vector_topk", f"WITH {SEARCH_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vector DESC, note_id) AS rank FROM vector) SELECT query_id, note_id, vector, rank FROM r WHERE rank <= 15")
