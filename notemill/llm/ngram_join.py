@@ -160,7 +160,7 @@ def verify(band: int, side: np.ndarray, v: np.ndarray, copies: np.ndarray, marks
     total = size[x][:, None] + size[y][None, :]
     may &= np.minimum(size[x][:, None], size[y][None, :]) * (1 + least) >= least * total - 1e-9
     if may.any():
-        shared = shared_counts([sets[i] for i in x], None if one else [sets[i] for i in y])
+        shared = shared_counts([sets[i] for i in x], None if one else [sets[i] for i in y]).astype(np.float64)  # counts; compared to the last bit
         linked = may & (shared * (1 + least) >= least * total - 1e-6)
         np.add.at(links, x, linked @ copies[y])
         np.add.at(links, y, linked.T @ copies[x])

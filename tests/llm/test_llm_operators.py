@@ -494,3 +494,15 @@ def test_short_items_and_repeated_keys_in_contamination(spark):
     docs_ = spark.createDataFrame([(1, "long before alpha beta gamma and long after it too"), (2, "nothing of it in here at all today"), (3, "x y z one two three four five six seven eight w"), (3, "some other text entirely without any of that, only longer than the first by some words"), (4, "alpha beta gamma"), (None, "u one two three four five six seven eight")], "doc_id long, text string")
     got = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in decontaminate.find_contamination(docs_, bench).collect()}
     assert got == {(1, 1): 1.0, (3, 2): 1.0, (4, 1): 1.0, (None, 2): 1.0}
+
+
+def test_pairs_at_the_similarity_itself():
+    import numpy as np
+
+    for scale in (1, 27, 216, 5000):  # shared n-grams and all of them, 8 to 10
+        a, b = np.arange(9 * scale, dtype=np.uint64), np.arange(scale, 10 * scale, dtype=np.uint64)
+        for sets, links in (([a, b], [1, 1]), ([a, b[1:]], [0, 0])):
+            v, one = np.array([1, 2]), np.ones(2, np.int64)
+            assert ngram_join.verify(0, np.zeros(2, int), v, one, np.zeros((2, 1), np.int64), sets, 0.8)[0].tolist() == links
+    a, b = np.arange(244, dtype=np.uint64), np.arange(28, 270, dtype=np.uint64)
+    assert ngram_join.verify(0, np.zeros(2, int), np.array([1, 2]), np.ones(2, np.int64), np.zeros((2, 1), np.int64), [a, b], 0.8)[0].tolist() == [1, 1]
