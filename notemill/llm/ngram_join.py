@@ -34,7 +34,7 @@ from notemill.llm.common import Texts, distinct, small, stash, steps
 from notemill.llm.components import components
 
 NGRAM, SIMILARITY, RECALL = 5, 0.8, 0.9995
-BLOCK, BLOCK_GRAMS = 400, 1_000_000
+BLOCK, BLOCK_GRAMS = 250, 500_000
 BROADCAST_BYTES = 24 << 20
 #: Columns of the 0/1 matrix whose product counts shared n-grams.
 WIDTH = 4096
