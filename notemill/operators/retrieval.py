@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from notemill.functions import fixed, text
 from notemill.functions.text import let
 from notemill.operators import vectors as vec
+from notemill.operators.graphs import cut_lineage
 
 MAX_CHARS, OVERLAP = 900, 120
 VECTOR_SHARE, FLOOR, TOP = 0.65, 0.08, 5
@@ -135,7 +136,7 @@ def hybrid_search(queries: DataFrame, notes: DataFrame, body: str = "raw_transcr
     Vector matches without a shared keyword are hash collisions and drop out, so only the lexical
     matches are scored; notes found by keyword alone stay.
     """
-    lexical = lexical_scores(queries, notes, body)
+    lexical = cut_lineage(lexical_scores(queries, notes, body))  # read twice
     return best(fuse(pair_scores(lexical, queries, notes, body), lexical), k=k)
 
 
