@@ -402,12 +402,12 @@ def test_quality_verdict_against_plain_rules(spark):
     r = random.Random(12)
     word = lambda n: "".join(r.choice("abcdefg") for _ in range(n))
     rows = []
-    for i in range(3000):
-        lang = None if i % 60 == 7 else f"x{i % 60}" if i % 5 == 0 else "big"
+    for i in range(6000):
+        lang = None if i % 60 == 7 else f"x{i % 61}" if i % 5 == 0 else "big"
         bad = i % 9 == 0
         text = " ".join(word(14 if bad and i % 2 else r.randint(2, 6)) + ("##" if bad and i % 4 == 0 else "") for _ in range(r.randint(15, 40)))
         rows.append((i, text, lang, int(not bad)))
-    rows += [(5000 + i, rows[1][1], "big", 1) for i in range(400)]  # copies of one text count once
+    rows += [(7000 + i, rows[1][1], "big", 1) for i in range(400)]  # copies of one text count once
     docs_ = spark.createDataFrame([x[:3] for x in rows], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, q) for i, _, _, q in rows] + [(i, q) for i, _, _, q in rows[:500]], "doc_id long, quality int")
     got = {x.doc_id: x for x in quality_rules.judge(docs_, labels).collect()}
