@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from notemill.sources.scratch import scratch
 
@@ -46,6 +47,25 @@ def small(df: DataFrame, row_bytes: int, limit_bytes: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+def fits(df: DataFrame, row_bytes: int, limit_bytes: int) -> DataFrame:
+    """``df``, to be broadcast where it surely fits in ``limit_bytes``."""
+    return F.broadcast(df) if small(df, row_bytes, limit_bytes) else df
+
+
+def ranked(df: DataFrame, *order: Column, name: str) -> DataFrame:
+    """``df`` with the number of each row in this order, from 0, in column ``name``.
+
+    Rows are numbered within sorted range partitions; what comes before a partition is added from a table with a row for
+    each partition, the only thing that meets in one task.
+    """
+    laid = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())
+    laid = stash(laid, "ranked")
+    part, row = F.shiftright(name, 33), F.col(name).bitwiseAND((1 << 33) - 1)
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = laid.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    return laid.join(F.broadcast(parts), part == F.col("part")).withColumn(name, row + F.col("ahead")).drop("part", "ahead")
+
+
 # ---- Arrow text columns -------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm import bpe, decontaminate, langid, ngram_join, pii, quality_classifier, quality_rules, substring_dedup, token_table, warc
+from notemill.llm import bpe, conversations, decontaminate, langid, mixing, ngram_join, pii, quality_classifier, quality_rules, spelling, substring_dedup, token_table, warc
 from notemill.llm.common import scratch, table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -70,6 +70,19 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversations.digest(conversations.repair(conversations.damage(turns)), turns)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "runs")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``corpus_pipeline.run``, with digests instead of ids and texts."""
     import corpus_pipeline
@@ -79,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_bpe, op3_pii, op4_langid, op5_quality_rules, op6_decontaminate, op7_substring_dedup, op8_token_table, op9_warc, op10_quality_classifier, pipeline)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_bpe, op3_pii, op4_langid, op5_quality_rules, op6_decontaminate, op7_substring_dedup, op8_token_table, op9_warc, op10_quality_classifier, op11_conversation_repair, op12_spelling, op13_mixing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
