@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from notemill.functions import fixed, text
 from notemill.functions.text import let
+from notemill.operators import metric
 from notemill.operators import vectors as vec
 from notemill.operators.graphs import cut_lineage
 
@@ -111,12 +112,11 @@ def pair_scores(pairs: DataFrame, queries: DataFrame, notes: DataFrame, body: st
 
 
 def vector_topk(queries: DataFrame, notes: DataFrame, k: int, body: str = "raw_transcript") -> DataFrame:
-    """``query_id, note_id, vector, rank``: the notes nearest to each query, which are a stated set scored in blocks."""
-    asked = vec.densify(vec.embed_sparse(queries.select("query_id", "query"), "query_id", "query", normalize=True), "query_id")
+    """``query_id, note_id, vector, rank``: the notes nearest to each query, found by an index without loss."""
+    asked = vec.densify(vec.embed_sparse(queries.select("query_id", "query"), "query_id", "query", normalize=True), "query_id").withColumnRenamed("embedding", "vector")
     said = vec.densify(vec.embed_sparse(notes.select("note_id", body), "note_id", body, normalize=True), "note_id")
-    scored = vec.block_scores(said, asked.select(F.col("query_id").alias("candidate"), F.col("embedding").alias("centroid")), "note_id").where("score > 0")
-    rows = scored.select(F.col("candidate").alias("query_id"), "note_id", rounded(F.least("score", F.lit(1.0))).alias("vector"))
-    return vec.top_k(rows, "query_id", "note_id", k, "vector")
+    found = metric.InvertedFile(said, "note_id").search(asked, k, exact=True).where("score > 0")
+    return found.select("query_id", F.col("key").alias("note_id"), F.col("score").alias("vector"), "rank")
 
 
 def fuse(vector: DataFrame, lexical: DataFrame, share: float = VECTOR_SHARE) -> DataFrame:
@@ -147,12 +147,13 @@ def browse(queries: DataFrame, notes: DataFrame, k: int = TOP) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "note_id", F.lit(1.0).alias("score"), "rank")
 
 
-def dense_search(queries: DataFrame, index: DataFrame, k: int = TOP, vector: str = "embedding") -> DataFrame:
-    """Nearest rows of an index of dense vectors; queries, a stated set, have ``query_id`` and a vector and are scored in blocks."""
-    asked = queries.select(F.col("query_id").alias("candidate"), F.col(vector).alias("centroid"))
-    scored = vec.block_scores(index, asked, "vec_id", vector)
-    rows = scored.select(F.col("candidate").alias("query_id"), "vec_id", rounded(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))).alias("score"))
-    return vec.top_k(rows, "query_id", "vec_id", k)
+def dense_search(queries: DataFrame, index: DataFrame, k: int = TOP, vector: str = "embedding", exact: bool = True, probes: int = 8) -> DataFrame:
+    """``query_id, vec_id, score, rank``: nearest rows of an index of dense vectors.
+
+    Without ``exact`` only the ``probes`` lists nearest to a query are searched.
+    """
+    found = metric.InvertedFile(index, "vec_id", vector).search(queries.select("query_id", F.col(vector).alias("vector")), k, probes, exact)
+    return found.withColumnRenamed("key", "vec_id")
 
 
 # ---- answers ----

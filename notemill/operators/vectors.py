@@ -105,16 +105,6 @@ def feature_vectors(rows: DataFrame, vector: str, kinds: dict[str, tuple[list, f
     return F.concat(*parts)
 
 
-def neighbour_pairs(rows: DataFrame, key: str, by: str, eps: float, vector: str = "embedding") -> DataFrame:
-    """Pairs of a group whose cosine distance is at most eps.
-
-    Groups are joined with themselves, so the work is the square of the largest one.
-    """
-    a = rows.select(F.col(by), F.col(key).alias("a"), F.col(vector).alias("va"))
-    b = rows.select(F.col(by), F.col(key).alias("b"), F.col(vector).alias("vb"))
-    return a.join(b, by).where("a < b").withColumn("distance", 1 - cosine(F.col("va"), F.col("vb"))).where(F.col("distance") <= eps).select(by, "a", "b", "distance")
-
-
 def numbers(values: DataFrame, column: str, name: str) -> DataFrame:
     """``column, name``: different values numbered from 0 in their order, by ranges of them and counts of the ranges."""
     ranged = cut_lineage(values.repartitionByRange(column).withColumn("part", F.spark_partition_id()))
@@ -122,19 +112,3 @@ def numbers(values: DataFrame, column: str, name: str) -> DataFrame:
     offsets = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
     place = F.row_number().over(Window.partitionBy("part").orderBy(column)) - 1
     return ranged.withColumn("place", place).join(offsets.select("part", "offset"), "part").select(column, (F.col("place") + F.col("offset")).alias(name))
-
-
-def dbscan(points: DataFrame, pairs: DataFrame, key: str, least: int, components) -> DataFrame:
-    """``key, cluster``: clusters by their first core point, -1 for noise.
-
-    ``pairs`` has ``a, b``; ``components`` maps links ``a, b`` to ``v, label``.
-    """
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    cores = both.groupBy("a").count().where(F.col("count") >= least - 1).select(F.col("a").alias("core"))
-    inner = both.join(cores, both["a"] == cores["core"], "left_semi").join(cores.withColumnRenamed("core", "c2"), F.col("b") == F.col("c2"), "left_semi")
-    labels = components(inner)
-    labelled = cores.join(labels, cores["core"] == labels["v"], "left").select("core", F.coalesce("label", "core").alias("label"))
-    numbered = labelled.join(numbers(labelled.select("label").distinct(), "label", "cluster"), "label").select("core", "cluster")
-    border = both.join(numbered, both["b"] == numbered["core"]).groupBy("a").agg(F.min("cluster").alias("reached"))
-    out = points.select(key).join(numbered, points[key] == numbered["core"], "left").join(border, points[key] == border["a"], "left")
-    return out.select(key, F.coalesce("cluster", "reached", F.lit(-1)).alias("cluster"))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from notemill.functions import fixed
 from notemill.operators import entities as en
 from notemill.operators import filing as fl
-from notemill.operators import graphs
+from notemill.operators import graphs, metric
 from notemill.operators import models as md
 from notemill.operators import organize as og
 from notemill.operators import readback as rb
 from notemill.operators import vectors as vec
 from notemill.plans.base import query
 from notemill.plans.note_plans import CONTENT_SQL
-from notemill.plans.retrieval_plans import COS, VEC_SQL, pairs, r6, sparse_sql
+from notemill.plans.retrieval_plans import COS, EPS, VEC_SQL, r6, sparse_sql
 from notemill.sources.notes import EPOCH, NOTES_SQL, SPOKEN_SQL, notes, read, spoken_notes
 from notemill.sources.scratch import scratch
 from notemill.streaming import jobs
@@ -111,7 +111,7 @@ SELECT g.subject, vec_id, coalesce(k.topic, 'group ' || g.grp) AS topic, k.topic
 def h07(spark, sf_dir):
     """Rows of a label are a subject, two of three with a topic; clusters without one are named after their group."""
     points = read(spark, sf_dir, "embeddings").select(F.col("label").alias("subject"), "vec_id", F.when(F.col("vec_id") % 3 > 0, F.concat(F.lit("topic "), (F.col("vec_id") % 3).cast("string"))).alias("topic"))
-    labels = graphs.cut_lineage(vec.dbscan(points, pairs(spark, sf_dir), "vec_id", 3, graphs.components))
+    labels = graphs.cut_lineage(metric.dbscan(read(spark, sf_dir, "embeddings"), "vec_id", "label", EPS, 3, graphs.components))
     group = F.when(F.col("cluster") == -1, F.concat(F.lit("noise-"), F.col("vec_id").cast("string"))).otherwise(F.col("cluster").cast("string"))
     names = points.join(labels, "vec_id").select("subject", group.alias("group")).distinct().withColumn("name", F.concat(F.lit("group "), F.col("group")))
     return og.recluster(points, labels, "subject", "vec_id", "topic", names)

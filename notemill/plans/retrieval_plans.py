@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from notemill.functions import fixed, text
-from notemill.operators import graphs, retrieval as rt
+from notemill.operators import graphs, metric, retrieval as rt
 from notemill.operators import vectors as vec
 from notemill.plans.base import query, quoted
 from notemill.plans.text_plans import SENTENCES_SQL, match_tokens
@@ -54,8 +54,7 @@ def h01(spark, sf_dir):
     return out.withColumn("weight", rt.rounded(F.col("weight")))
 
 
-def pairs(spark, sf_dir, eps=0.7):
-    return vec.neighbour_pairs(read(spark, sf_dir, "embeddings"), "vec_id", "label", eps)
+EPS = 0.7
 
 
 PAIRS_SQL = VEC_SQL + f", p AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, 1 - ({COS.format('a.v', 'b.v')}) AS distance FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id), pairs AS (SELECT * FROM p WHERE distance <= 0.7)"
@@ -84,7 +83,7 @@ def h04(spark, sf_dir):
 
 @query("h05_neighbour_pairs", f"WITH {PAIRS_SQL} SELECT label, a, b, {r6('distance', 5)} AS distance FROM pairs")
 def h05(spark, sf_dir):
-    return pairs(spark, sf_dir).withColumn("distance", rt.rounded(F.col("distance"), 5))
+    return metric.neighbour_pairs(read(spark, sf_dir, "embeddings"), "vec_id", "label", EPS).withColumn("distance", rt.rounded(F.col("distance"), 5))
 
 
 @query("h06_dbscan", f"""WITH RECURSIVE {PAIRS_SQL}, sides AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
@@ -94,7 +93,7 @@ lab AS (SELECT v, min(r) AS label FROM reach GROUP BY v), num AS (SELECT v, dens
 border AS (SELECT b.a AS v, min(n.cluster) AS reached FROM sides b JOIN num n ON n.v = b.b GROUP BY b.a)
 SELECT vec_id, coalesce(n.cluster, reached, -1) AS cluster FROM e LEFT JOIN num n ON n.v = vec_id LEFT JOIN border d ON d.v = vec_id""")
 def h06(spark, sf_dir):
-    return vec.dbscan(read(spark, sf_dir, "embeddings"), pairs(spark, sf_dir), "vec_id", 2, graphs.components)
+    return metric.dbscan(read(spark, sf_dir, "embeddings"), "vec_id", "label", EPS, 2, graphs.components)
 
 
 CENTROID_SQL = VEC_SQL + f""", u AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e), m AS (SELECT label, i, avg(x) AS x FROM u GROUP BY ALL),
