@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import StructField, StructType
 
 from notemill.functions import fixed
 from notemill.functions.text import any_of
+from notemill.operators.names import match_names
 
 DEADLINE_BONUS, NO_SPAN, GATE = 40.0, 10_000.0, 0.60
 
@@ -132,70 +131,6 @@ def normalize_name(name: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(bare, r"[^\p{L}\p{N}_\s'-]", ""), r"\s+", " ")))
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a, b):
-    """Share of characters in matching blocks of two strings."""
-    import pandas as pd
-    from difflib import SequenceMatcher
-
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
-def least_shared(n: int, m: int, cutoff: float) -> int:
-    """Fewest characters that strings of ``n`` and ``m`` share in order if their ratio reaches the cutoff."""
-    return math.ceil(cutoff * (n + m) / 2 - 1e-9)
-
-
-def partners(n: int, cutoff: float) -> list[int]:
-    """Lengths that a string of length ``n`` can reach the cutoff with."""
-    return [m for m in range(1, math.floor(n * (2 - cutoff) / cutoff + 1e-9) + 1) if least_shared(n, m, cutoff) <= min(n, m)]
-
-
-def pieces(n: int, m: int, cutoff: float) -> list[tuple[int, int]]:
-    """Start and end of parts of a known name of length ``m``, one more than there are characters to drop or add."""
-    k = n + m - 2 * least_shared(n, m, cutoff) + 1
-    return [(m * j // k, m * (j + 1) // k) for j in range(k)]
-
-
-def match_names(names: DataFrame, known: DataFrame, cutoff: float, other: bool = False, by: str | None = None, last: bool = False) -> DataFrame:
-    """Best known name of each name by ratio, exact ones first: ``name, match, ratio``.
-
-    With ``by``, only names with the same value of that column are compared, and it leads the result. Of equally near
-    names the first in order is taken, the last one if ``last``.
-
-    At the cutoff a pair differs by so many dropped or added characters at most; a known name cut into one part
-    more has a part that the other name holds unchanged, moved no further than those characters allow. Parts are
-    the join key, so no pair at the cutoff is lost. Only lengths that names of the other side have are tried, so a long text
-    among short names costs nothing. ``other`` leaves equal names out.
-    """
-    lengths = lambda rows: {r[0] for r in rows.select(F.length("name")).distinct().collect() if r[0]}  # noqa: E731  # as many as there are lengths
-    heard_lengths, known_lengths = lengths(names), lengths(known)
-
-    @F.udf("array<string>")
-    def parts(match):
-        return [f"{n} {m} {j} {match[a:b]}" for m in [len(match or "")] if m for n in partners(m, cutoff) if n in heard_lengths for j, (a, b) in enumerate(pieces(n, m, cutoff))]
-
-    @F.udf("array<string>")
-    def places(name):
-        n, out = len(name or ""), set()
-        for m in known_lengths.intersection(partners(n, cutoff)):
-            most = n + m - 2 * least_shared(n, m, cutoff)
-            for j, (a, b) in enumerate(pieces(n, m, cutoff)):
-                for at in range(max(0, a - most), min(n - (b - a), a + most) + 1):
-                    if abs(at - a) + abs(n - m - (at - a)) <= most:
-                        out.add(f"{n} {m} {j} {name[at : at + b - a]}")
-        return list(out)
-
-    same = [by] if by else []
-    pairs = names.select(*same, "name", F.explode(places("name")).alias("b")).join(known.select(*same, F.col("name").alias("match"), F.explode(parts("name")).alias("b")), [*same, "b"]).select(*same, "name", "match").distinct()
-    if other:
-        pairs = pairs.where("name <> match")
-    n, m = F.length("name"), F.length("match")
-    pairs = pairs.where(2 * F.least(n, m) >= cutoff * (n + m)).withColumn("ratio", sequence_ratio(F.col("match"), F.col("name"))).where(F.col("ratio") >= cutoff)
-    order = Window.partitionBy(*same, "name").orderBy(F.desc("ratio"), F.desc("match") if last else "match")
-    return pairs.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
-
-
 def resolve_contacts(mentions: DataFrame, cutoff: float, components) -> DataFrame:
     """``name, contact``: mentions of one person share the smallest of their names."""
     keys = mentions.select(normalize_name(F.col("name")).alias("name")).where("name <> ''").distinct()
