@@ -5,10 +5,10 @@ shorter, a pair either shares its first S // 2 letters or its last S - S // 2: a
 first kind, one of the words reversed the second, so that a word meets only a short stretch of each.
 
 Both lists are one table, sorted by range and cut into shards. A word is sent to the shards that its stretch touches; of those
-that begin and end with a longer shared prefix, only to those whose prefix is within one edit. In a shard the words of the stretch
-are scanned in order. The rows of the edit matrix, three cells wide, are kept by depth: the next word goes on
-from the row where it leaves its predecessor (their longest common prefix), and where a row has no cell of at most one edit,
-all words with that prefix are skipped.
+that begin and end with a longer shared prefix, only to those whose prefix is within one edit. In a shard the longest common prefixes
+of neighbours cut the list into ranges that share their first letters. A range has one row of the edit matrix, three cells wide,
+for each word that searches it; the ranges that it splits into at the next letter go on from that row, and where no cell is at most one
+edit, the whole range is skipped. That is done letter by letter for thousands of searching words at once.
 
 Bounds: a shard has about ``SHARD_WORDS`` words, more beyond ``MOST_SHARDS`` shards; a task holds one shard, the words that search it
 stream by. The first and last word of each shard, at most twice ``MOST_SHARDS`` rows, are all that the driver sees. Results are
@@ -25,17 +25,22 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from string import ascii_lowercase, ascii_uppercase
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notemill.llm.common import stash
+from notemill.llm.common import spread, stash
 
 LETTERS = "[A-Za-zÀ-ÿ]++"
 #: A word of this residue loses a letter, as the contract says.
 DAMAGED = 97
 SHORTEST, FEWEST = 5, 3
 SHARD_WORDS, MOST_SHARDS = 20_000, 10_000
+#: Words that search a shard together.
+ASKED = 4096
+#: Letters after an asked word, like no letter.
+PAD = 3
 #: Sorts after every word that a prefix begins.
 AFTER = "\U0010ffff"
 
@@ -75,32 +80,79 @@ def within_one(prefix: str, q: str, base: int) -> bool:
     return True
 
 
-def scan(words: list[str], shared: list[int], q: str, base: int) -> Iterator[int]:
-    """Positions of the words at one edit from ``q`` that share its first ``base`` letters.
+def steps_of_rows() -> tuple[np.ndarray, np.ndarray]:
+    """All rows as numbers: three cells of 0, 1 or more make 27, and the row after each for the eight outcomes of comparing a letter with three."""
+    after = np.zeros(27 * 8, np.uint8)
+    for row in range(27):
+        for same in range(8):
+            q = ["=" if same & bit else "!" for bit in (4, 2, 1)]
+            cells = row_after((row // 9, row // 3 % 3, row % 3), 2, "=", q)
+            after[8 * row + same] = sum(min(x, 2) * f for x, f in zip(cells, (9, 3, 1), strict=True))
+    return after, np.array([[r // 9, r // 3 % 3, r % 3] for r in range(27)], np.int8)
 
-    ``words`` are sorted, ``shared`` has the length of each one's common prefix with the one before.
+
+AFTER_ROW, CELLS = steps_of_rows()
+FIRST_ROW, DEAD_ROW = 1 * 9 + 0 * 3 + 1, 26
+TWO, FOUR, EIGHT = np.uint8(2), np.uint8(4), np.uint8(8)
+
+
+class Vocabulary:
+    """Sorted words as letters, and the length of each one's common prefix with the one before."""
+
+    def __init__(self, words: list[str]):
+        self.words = words
+        self.shared = np.array([0, *map(common, words, words[1:])] if words else [], np.int64)
+        self.letters, self.at = flat(words)
+        self.sizes = np.diff(self.at)
+
+
+def flat(words: list[str], pad: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """Letters of all words in a row, each followed by ``pad``, and where each begins."""
+    at = np.concatenate([[0], np.cumsum(np.fromiter((len(w) + len(pad) for w in words), np.int64, len(words)))])
+    return np.frombuffer("".join(w + pad for w in words).encode("utf-32-le"), np.uint32), at
+
+
+def scan(list_: Vocabulary, asked: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of words and numbers of the asked words at one edit from them, where both share the first ``bases`` letters.
+
+    All ranges of words that share ``depth`` letters are looked at together, each with the asked words that reach it: the next letter splits
+    a range where the common prefixes of neighbours end, and its row goes on from the row of the range. Rows without a cell of at
+    most one edit are dropped, and with them all words of their range.
     """
-    size, padded, prefix = len(q), q + "\0\0\0", q[:base]
-    i, end = bisect_left(words, prefix), bisect_right(words, prefix + AFTER)
-    rows = [(1, 0, 1)]  # rows[d - base] is that of depth d
-    while i < end:
-        w = words[i]
-        depth, upto = base + len(rows) - 1, min(len(w), size + 1)
-        row = rows[-1]
-        while depth < upto and min(row) < 2:
-            depth += 1
-            row = row_after(row, depth, w[depth - 1], padded)
-            rows.append(row)
-        if min(row) > 1:
-            i = bisect_right(words, w[:depth] + AFTER, i, end)  # all with this prefix are too far
-            rows = rows[:-1]
-        else:
-            if depth == len(w) and -1 <= size - depth <= 1 and row[size - depth + 1] == 1:
-                yield i
-            i += 1
-        if i < end:
-            keep = shared[i] if i else 0
-            del rows[max(1, min(len(rows), keep - base + 1)) :]
+    letters, at = flat(asked, "\0" * PAD)
+    sizes = np.diff(at) - PAD
+    base = np.fromiter(map(bases, asked), np.int64, len(asked))
+    prefixes = [x[:b] for x, b in zip(asked, base.tolist(), strict=True)]
+    stretch = {p: (bisect_left(list_.words, p), bisect_right(list_.words, p + AFTER)) for p in set(prefixes)}
+    begin, end = (np.array([stretch[p][k] for p in prefixes], np.int64) for k in (0, 1))
+    some = np.flatnonzero(end > begin)
+    some = some[np.argsort(base[some], kind="stable")]
+    starts = base[some]
+    none = np.zeros(0, np.int64)
+    who, low, high, row = none, none, none, np.zeros(0, np.uint8)
+    depth, used, hits = 0, 0, [(none, none)]
+    while len(who) or used < len(some):
+        depth = depth if len(who) else int(starts[used])
+        more = int(np.searchsorted(starts, depth, side="right"))
+        new, used = some[used:more], more
+        who, low, high = np.concatenate([who, new]), np.concatenate([low, begin[new]]), np.concatenate([high, end[new]])
+        row = np.concatenate([row, np.full(len(new), FIRST_ROW, np.uint8)])
+        cuts = np.append(np.flatnonzero(list_.shared <= depth), len(list_.words))  # where words differ in the next letter or before
+        first = np.searchsorted(cuts, low) + (list_.sizes[low] == depth)  # a word that ends here goes no further
+        n = np.searchsorted(cuts, high) - first
+        of, cut = np.repeat(np.arange(len(who)), n), spread(first, n)
+        low, high, who = cuts[cut], cuts[cut + 1], who[of]
+        letter, q = list_.letters[list_.at[low] + depth], at[who] + depth
+        same = (letters[q - 1] == letter) * FOUR + (letters[q] == letter) * TWO + (letters[q + 1] == letter)
+        row = AFTER_ROW[row[of] * EIGHT + same]
+        depth += 1
+        alive = np.flatnonzero(row != DEAD_ROW)
+        who, low, high, row = who[alive], low[alive], high[alive], row[alive]
+        cell = sizes[who] - depth + 1  # of the row, where the asked word ends
+        done = np.flatnonzero((list_.sizes[low] == depth) & (cell >= 0) & (cell <= 2))
+        done = done[CELLS[row[done], cell[done]] == 1]
+        hits.append((low[done], who[done]))
+    return np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
 
 
 def common(a: str, b: str) -> int:
@@ -146,29 +198,40 @@ def near_words(words: DataFrame) -> DataFrame:
             yield picked.append_column("shard", pa.array(batch.column("shard").to_pylist() + to, pa.int32())).append_column("asks", pa.array([0] * n + who, pa.int32()))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, words_, counts, shared = None, [], [], []
+        shard, words_, counts, asked, list_ = None, [], [], [], None
         for batch in batches:
             found = []
             for x, n, s, asks in zip(*(batch.column(c).to_pylist() for c in ("x", "n", "shard", "asks")), strict=True):
                 if s != shard:
-                    shard, words_, counts, shared = s, [], [], []
-                if not asks:
-                    shared.append(common(words_[-1], x) if words_ else 0)
+                    found += answers(list_, counts, asked)
+                    shard, words_, counts, asked, list_ = s, [], [], [], None
+                if asks:
+                    list_ = list_ or Vocabulary(words_)
+                    asked.append(x)
+                    if len(asked) == ASKED:
+                        found += answers(list_, counts, asked)
+                        asked = []
+                else:
                     words_.append(x)
                     counts.append(n)
-                    continue
-                forwards, hits, best = x[0] == "f", 0, (0, "")
-                word = x[1:] if forwards else x[:0:-1]
-                for i in scan(words_, shared, x, bases(x)):
-                    near = words_[i][1:] if forwards else words_[i][:0:-1]
-                    if forwards == (common(word, near) >= min(len(word), len(near)) // 2):  # else the other list has the pair
-                        hits += 1
-                        best = min(best, (-counts[i], near))
-                if hits:
-                    found.append((word, hits, best[1], -best[0]))
+            found += answers(list_, counts, asked)
+            asked = []
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["word", "hits", "near", "near_n"])
 
+    def answers(list_, counts, asked):
+        if not asked:
+            return []
+        best: dict[str, tuple] = {}
+        for i, j in zip(*(x.tolist() for x in scan(list_, asked)), strict=True):
+            x, w = asked[j], list_.words[i]
+            forwards = x[0] == "f"
+            word, near = (x[1:], w[1:]) if forwards else (x[:0:-1], w[:0:-1])
+            if forwards == (common(word, near) >= min(len(word), len(near)) // 2):  # else the other list has the pair
+                hits, most = best.get(word, (0, (0, "")))
+                best[word] = hits + 1, min(most, (-counts[i], near))
+        return [(word, hits, most[1], -most[0]) for word, (hits, most) in best.items()]
+
     sent = entries.mapInArrow(send, "x string, n long, shard int, asks int")
     hits = sent.repartition(n_shards, "shard").sortWithinPartitions("shard", "asks", "x").mapInArrow(search, "word string, hits long, near string, near_n long")
     best = hits.groupBy("word").agg(F.sum("hits").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), "near")).alias("best"))
