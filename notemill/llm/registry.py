@@ -96,7 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": OP9_SQL}
+    return {"op9_warc": OP9_SQL, "op11_conversation_repair": OP11_SQL, "op12_spelling": OP12_SQL}
 
 
 OP9_SQL = """
@@ -108,3 +108,67 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
 FROM f
 """
+
+#: crc32 of a hexadecimal string of bytes; ``crc`` is the table by the polynomial's rule.
+CRC_TABLE = """crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)))"""
+CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length({0}) // 2), lambda i: ('0x' || substr({0}, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+
+OP11_SQL = f"""
+WITH RECURSIVE {CRC_TABLE}, rows AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))) AS h FROM conversations
+), harmed AS (SELECT *, {CRC.format("h")} % 20 AS harm FROM rows, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role, CASE harm WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE harm WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM harmed WHERE harm <> 0
+), placed AS (
+  SELECT *, left(role, 1) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last FROM damaged
+), r AS (
+  SELECT *, last = '' AS blank, last <> '' AND seen AS duplicate, last <> '' AND NOT seen AND last NOT IN ('.', '!', '?') AS truncated, last = '' OR seen AS gone,
+    lag(x) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed
+), v AS (
+  SELECT DISTINCT conv_id, n AS i, 0 AS v0, 6 AS v1, 3 AS v2, 0 AS v3 FROM r
+  UNION ALL
+  SELECT conv_id, i, least(x0, 3 + x2), least(x1, 3 + x2), least(x2, 3 + x3), least(x3, 3 + x2) FROM (
+    SELECT conv_id, i, least(w0, 3 + w2) AS x0, least(w1, 3 + w2) AS x1, least(w2, 3 + w3) AS x2, least(w3, 3 + w2) AS x3 FROM (
+      SELECT r.conv_id, r.i, least(4 + v0, free + 3 + v2, free + CASE x WHEN 's' THEN v1 WHEN 'u' THEN v2 ELSE 1000000 END) AS w0, least(4 + v1, free + 3 + v2, free + CASE x WHEN 'u' THEN v2 ELSE 1000000 END) AS w1,
+        least(4 + v2, free + 3 + v3, free + CASE x WHEN 'a' THEN v3 ELSE 1000000 END) AS w2, least(4 + v3, free + 3 + v2, free + CASE x WHEN 'u' THEN v2 ELSE 1000000 END) AS w3
+      FROM v JOIN (SELECT *, CASE WHEN gone THEN 1000000 WHEN truncated THEN 3 ELSE 0 END AS free FROM r) r ON r.conv_id IS NOT DISTINCT FROM v.conv_id AND r.i = v.i - 1))
+), costs AS (SELECT v.conv_id, v.i, [v0, v1, v2, v3] AS now FROM v),
+steps AS (
+  SELECT a.conv_id, a.i, a.now, b.now AS after, r.role, r.text, r.n, CASE WHEN r.gone THEN 1000000 WHEN r.truncated THEN 3 ELSE 0 END AS free,
+    CASE r.x WHEN 's' THEN [1, -1, -1, -1] WHEN 'u' THEN [2, 2, -1, 2] WHEN 'a' THEN [-1, -1, 3, -1] ELSE [-1, -1, -1, -1] END AS keep
+  FROM costs a LEFT JOIN costs b ON b.conv_id IS NOT DISTINCT FROM a.conv_id AND b.i = a.i + 1 LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM a.conv_id AND r.i = a.i
+), walk AS (
+  SELECT conv_id, 0 AS i, 0 AS s, '' AS audit, []::VARCHAR[] AS said, false AS ended FROM costs WHERE i = 0
+  UNION ALL
+  SELECT conv_id, i + CASE WHEN e IN ('I', '') THEN 0 ELSE 1 END, CASE e WHEN 'K' THEN keep[s + 1] WHEN 'D' THEN s WHEN '' THEN s ELSE f END, audit || e,
+    CASE e WHEN 'K' THEN list_append(said, role || ':' || text) WHEN 'R' THEN list_append(said, o || text) WHEN 'I' THEN list_append(said, o) ELSE said END, e = '' FROM (
+    SELECT w.conv_id, w.i, w.s, w.audit, w.said, keep, role, text, f, CASE f WHEN 2 THEN 'user:' ELSE 'assistant:' END AS o,
+      CASE WHEN after IS NULL AND s IN (0, 3) THEN '' WHEN after IS NOT NULL AND now[s + 1] = 4 + after[s + 1] THEN 'D' WHEN now[s + 1] = 3 + now[f + 1] THEN 'I' WHEN keep[s + 1] >= 0 AND now[s + 1] = free + after[keep[s + 1] + 1] THEN 'K' ELSE 'R' END AS e
+    FROM (SELECT *, CASE s WHEN 2 THEN 3 ELSE 2 END AS f FROM walk WHERE NOT ended) w JOIN steps t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i)
+), faults AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(duplicate) AS duplicate, count_if(truncated) AS truncated, count_if(i > 0 AND before || x NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v0, 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN (FROM v WHERE i = 0) v ON v.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN (FROM walk WHERE ended) w ON w.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_TABLE}, runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS k, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents
+), kinds AS (SELECT k, w, count(*) AS n, hex(encode(k || ':' || w)) AS h FROM runs GROUP BY ALL),
+hashed AS (SELECT w, n, {CRC.format("h")} AS c FROM kinds, crc),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN c % 97 = 0 THEN left(w, c % length(w)) || substr(w, c % length(w) + 2) ELSE w END AS word, n FROM hashed) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), dels AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS v, b.n FROM dels a JOIN dels b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM dels a JOIN words b ON a.d = b.word
+  UNION SELECT b.word, a.word, a.n FROM dels a JOIN words b ON a.d = b.word
+), best AS (SELECT word, count(*) AS n_near, arg_min(v, {{'n': -n, 'v': v}}) AS v, max(n) AS m FROM near GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 2 * w.n THEN v END AS form, CASE WHEN m >= 2 * w.n THEN m END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
+follow AS (SELECT word, word AS root, 0 AS hops FROM forms UNION ALL SELECT r.word, f.form, hops + 1 FROM follow r JOIN forms f ON f.word = r.root AND f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, arg_max(root, hops) AS root FROM follow GROUP BY word) USING (word)
+"""
