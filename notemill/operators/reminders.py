@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from heapq import heappop, heappush
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -13,11 +16,103 @@ from notemill.operators.names import match_names
 DEADLINE_BONUS, NO_SPAN, GATE = 40.0, 10_000.0, 0.60
 
 
+class Line:
+    """Open tasks and dates by their places on a line, as numbers; empty places drop out of a linked list.
+
+    The closest pair of a task and a date lies at one place or at neighbouring ones, since anything between the two would make
+    a closer pair with one of them.
+    """
+
+    def __init__(self, points: tuple[dict[int, float], dict[int, float]], bonus: float, gone: tuple[set, set]):
+        self.at, self.bonus, self.gone = sorted({*points[0].values(), *points[1].values()}), bonus, gone
+        number = {x: i for i, x in enumerate(self.at)}
+        self.place = tuple({i: number[x] for i, x in of.items()} for of in points)
+        self.open: list[tuple[list, list]] = [([], []) for _ in self.at]
+        for side in (0, 1):
+            for i, place in sorted(self.place[side].items()):
+                self.open[place][side].append(i)  # in order, so a heap
+        self.before, self.after = [*range(-1, len(self.at) - 1)], [*range(1, len(self.at)), -1]
+
+    def between(self, one: int, two: int):
+        """(distance, task, date) of the first open ones at two places."""
+        if one >= 0 and two >= 0:
+            apart = abs(self.at[one] - self.at[two]) - self.bonus
+            for x, y in {(one, two), (two, one)}:
+                if self.open[x][0] and self.open[y][1]:
+                    yield apart, self.open[x][0][0], self.open[y][1][0]
+
+    def around(self, place: int):
+        for other in (self.before[place], place, self.after[place]):
+            yield from self.between(place, other)
+
+    def drop(self, side: int, i: int):
+        """Takes out a point that is gone; the pairs that become neighbours."""
+        place = self.place[side].get(i)
+        if place is None:
+            return
+        for points, done in zip(self.open[place], self.gone, strict=True):
+            while points and points[0] in done:
+                heappop(points)
+        if self.open[place][0] or self.open[place][1]:
+            yield from self.around(place)
+            return
+        before, after = self.before[place], self.after[place]
+        if before >= 0 and self.after[before] == place:
+            self.after[before] = after
+        if after >= 0 and self.before[after] == place:
+            self.before[after] = before
+        yield from self.between(before, after)
+
+
+def nearest_pairs(tasks: list[tuple], dates: list[tuple]) -> list[tuple[int, int]]:
+    """Numbers of paired tasks and dates, pairs taken by distance, task and date until either side is used up.
+
+    ``tasks`` are (value, middle) and ``dates`` (identity, middle, bonus); of equal values the first that is taken counts. Points
+    without a middle are ``NO_SPAN`` from all others. Dates of one bonus form a line with all tasks; a heap holds the
+    neighbours of all lines, so n points take n log n steps.
+    """
+    gone: tuple[set, set] = (set(), set())
+    placed = {i: m for i, (_, m) in enumerate(tasks) if m is not None}
+    lines = [Line((placed, {i: m for i, (_, m, x) in enumerate(dates) if m is not None and x == bonus}), bonus, gone) for bonus in {x for *_, x in dates}]
+    same: tuple[dict, dict] = (defaultdict(list), defaultdict(list))
+    for side, points in enumerate((tasks, dates)):
+        for i, (value, *_) in enumerate(points):
+            same[side][value].append(i)
+    seen = {pair for line in lines for place in range(len(line.at)) for pair in line.around(place)}
+    heap = sorted(seen)
+    #: the first open points, those of any kind and those without a middle
+    first = [[iter(range(len(points))), iter([i for i, x in enumerate(points) if x[1] is None])] for points in (tasks, dates)]
+    at = [[next(x, None) for x in of] for of in first]
+    out = []
+    while True:
+        for side in (0, 1):
+            for k in (0, 1):
+                while at[side][k] in gone[side]:
+                    at[side][k] = next(first[side][k], None)
+        loose = [(NO_SPAN, t, d) for t, d in ((at[0][0], at[1][1]), (at[0][1], at[1][0])) if t is not None and d is not None]
+        while heap and (heap[0][1] in gone[0] or heap[0][2] in gone[1]):
+            heappop(heap)
+        if not heap and not loose:
+            return out
+        _, t, d = min([*heap[:1], *loose])
+        out.append((t, d))
+        dropped = (same[0][tasks[t][0]], same[1][dates[d][0]])
+        for side in (0, 1):
+            gone[side].update(dropped[side])
+        for side in (0, 1):
+            for i in dropped[side]:
+                for line in lines:
+                    for pair in line.drop(side, i):
+                        if pair not in seen:
+                            seen.add(pair)
+                            heappush(heap, pair)
+
+
 def pair_tasks(tasks: DataFrame, dates: DataFrame) -> DataFrame:
     """One date at most per task and the other way round, nearest first: ``note_id, task, date``.
 
     Pairs of a note are taken in the order of distance, task and date until its tasks or dates are used up.
-    A task holds all of one note's tasks and dates, which its text bounds; their distances are never rows.
+    A task holds all of one note's tasks and dates, which its text bounds, but not their pairs.
     """
     mid = (F.col("start") + F.col("end")) / 2
     t = tasks.groupBy("note_id").agg(F.array_sort(F.collect_list(F.struct(F.col("value").alias("task"), mid.alias("tm")))).alias("t"))
@@ -28,26 +123,14 @@ def pair_tasks(tasks: DataFrame, dates: DataFrame) -> DataFrame:
     schema = StructType([both.schema["note_id"], StructField("task", types["task"].elementType), StructField("date", types["date"].elementType), StructField("date_start", types["date_start"].elementType)])
 
     def assign(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                tm, dm = np.array(row["tm"], dtype="float64"), np.array(row["dm"], dtype="float64")
-                distance = np.abs(dm - tm[:, None]) - np.array(row["bonus"])
-                distance[np.isnan(distance)] = NO_SPAN
-                done, taken, most = set(), set(), min(len(tm), len(dm))
-                for i in np.argsort(distance, axis=None, kind="stable"):
-                    a, b = divmod(int(i), len(dm))
-                    task, date = row["task"][a], (row["date_start"][b], row["date"][b])
-                    if task in done or date in taken:
-                        continue
-                    done.add(task)
-                    taken.add(date)
-                    out.append((row["note_id"], task, date[1], date[0]))
-                    if len(done) == most:
-                        break
+                named = list(zip(row["date_start"], row["date"], strict=True))
+                for a, b in nearest_pairs(list(zip(row["task"], row["tm"], strict=True)), list(zip(named, row["dm"], row["bonus"], strict=True))):
+                    out.append((row["note_id"], row["task"][a], row["date"][b], row["date_start"][b]))
             columns = zip(*out, strict=True) if out else ([],) * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=schema.names)
 

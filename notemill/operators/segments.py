@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +58,61 @@ def cap_sessions(segments: DataFrame, gap: float, cap: float, by: str = "recordi
     return parts.groupBy(by, "session", "part").agg(F.count("*").alias("segments"), quiet.alias("q")).select(by, "session", "part", "segments", F.col("q.segment_id").alias("cut_at"))
 
 
+def quiet_cuts(segments: DataFrame, gap: float, cap: float, tolerance: float = 0.5, by: str = "recording_id") -> DataFrame:
+    """Pieces of sessions, none longer than ``cap`` seconds: ``by, session, piece, first, last, segments, first_id``.
+
+    A session that is longer is cut at the quietest segment of the second half of what is allowed, of those within ``tolerance`` of
+    it the nearest to the middle of that half, and starts again there; without a segment in that half it is cut after it. Segments of
+    unknown level are as loud as can be. Recordings are sorted by Spark and read one segment at a time; a task holds the
+    segments of one piece.
+    """
+    kind, name = segments.schema[by].dataType.simpleString(), segments.schema["segment_id"].dataType.simpleString()
+
+    def cut_of(held: list[tuple]) -> float:
+        begin = held[0][0]
+        half = [(x[2] if x[2] is not None else float("inf"), abs(x[0] - begin - 0.75 * cap), x[0], x[1]) for x in held if cap / 2 <= x[0] - begin <= cap]
+        if not half:
+            return next(x[0] for x in held if x[0] - begin > cap)
+        quietest = min(x[0] for x in half)
+        return min(x[1:] for x in half if x[0] <= quietest + tolerance)[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, session, piece, held, out = None, 0, 0, [], []
+
+        def close(rows):
+            out.append((of, session, piece, rows[0][0], rows[-1][0], len(rows), rows[0][1]))
+
+        def made(type_):
+            columns = list(zip(*out, strict=True))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (type_[0], pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), type_[1]), strict=True)], names=[by, "session", "piece", "first", "last", "segments", "first_id"])
+
+        types = None
+        for batch in batches:
+            types = batch.schema.field(by).type, batch.schema.field("segment_id").type
+            for key, start, id_, level in zip(*(batch.column(c).to_pylist() for c in (by, "start", "segment_id", "level")), strict=True):
+                if held and (key != of or start - held[-1][0] > gap):
+                    close(held)
+                    session, piece, held = session + 1 if key == of else 0, 0, []
+                elif not held:
+                    session, piece = 0, 0
+                of = key
+                held.append((start, id_, level))
+                while start - held[0][0] > cap:
+                    cut = cut_of(held)
+                    at = next(i for i, x in enumerate(held) if x[0] >= cut)
+                    close(held[:at])
+                    piece, held = piece + 1, held[at:]
+            if out:
+                yield made(types)
+        if held:
+            close(held)
+            yield made(types)
+
+    rows = segments.where("start IS NOT NULL").select(by, F.col("start").cast("double").alias("start"), "segment_id", F.col("level").cast("double").alias("level"))
+    return rows.repartition(by).sortWithinPartitions(by, "start", "segment_id").mapInArrow(run, f"{by} {kind}, session long, piece long, first double, last double, segments long, first_id {name}")
+
+
 def damp_outliers(segments: DataFrame, tolerance: float = 12.0, reduction: float = 10.0, by: str = "recording_id") -> DataFrame:
     """Levels over the median by more than the tolerance are lowered."""
     known = segments.where("level IS NOT NULL").select(by, "level")

@@ -15,7 +15,7 @@ from notemill.plans.note_plans import CONTENT_SQL
 from notemill.plans.retrieval_plans import COS, EPS, VEC_SQL, r6, sparse_sql
 from notemill.sources.notes import EPOCH, NOTES_SQL, SPOKEN_SQL, notes, read, spoken_notes
 from notemill.sources.scratch import scratch
-from notemill.streaming import jobs
+from notemill.streaming import capture, jobs
 from pyspark.sql import functions as F
 
 
@@ -299,6 +299,43 @@ def x1(spark, sf_dir):
     return spark.read.parquet(out).groupBy("source").agg(F.count("*").alias("notes"), F.sum("chars").alias("chars"))
 
 
+def arrivals(spark, rows, parts):
+    """A stream of rows that arrive in as many batches as there are conditions, and what to do after each arrival."""
+    path = scratch(spark, "arrivals")
+
+    def run(start):
+        for part in parts:
+            rows.where(part).coalesce(1).write.mode("append").parquet(path)
+            start(spark.readStream.schema(rows.schema).parquet(path))
+
+    return run
+
+
+@query("x1_capture_stream")
+def x1_capture(spark, sf_dir):
+    """Spoken notes that arrive in two batches go through the whole chain; what is written for each of them, counted."""
+    rows = spoken_notes(spark, sf_dir).select("note_id", "raw_transcript", "created_epoch")
+    out, state = scratch(spark, "captured"), scratch(spark, "captured-state")
+    arrivals(spark, rows, ["note_id % 3 > 0", "note_id % 3 = 0"])(lambda stream: jobs.run_once(stream, capture.capture_writer(out), state))
+    of = lambda name: capture.captured(spark, out, name)
+    tags = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "topic"))), lambda x: x["topic"]), "; ")
+    counts = [of("links").groupBy("note_id").agg(tags.alias("topics")), of("entities").groupBy("note_id").agg(F.count("*").alias("entities"))]
+    counts += [of("reminders").groupBy("note_id").agg(F.count("*").alias("reminders")), of("chunks").groupBy("note_id").agg(F.count("*").alias("chunks"))]
+    done = of("notes").select("note_id", "note_type", F.md5("cleaned").alias("cleaned"))
+    for table in counts:
+        done = done.join(table, "note_id", "left")
+    return done.fillna(0, ["entities", "reminders", "chunks"])
+
+
+@query("x5_alert_stream", "SELECT user_id AS reminder_id, floor(epoch(min(ts)))::BIGINT AS announced FROM events GROUP BY ALL")
+def x5_alerts(spark, sf_dir):
+    """Events as sightings of due reminders, the second half of January after the first: each is announced once."""
+    due = read(spark, sf_dir, "events").select(F.col("user_id").alias("reminder_id"), F.col("ts").cast("timestamp").alias("ts"))
+    out, state = scratch(spark, "alerts"), scratch(spark, "alerts-state")
+    arrivals(spark, due, ["day(ts) <= 15", "day(ts) > 15"])(lambda stream: jobs.run_once(stream, capture.alert_writer(out), state))
+    return spark.read.parquet(f"{out}/alerts").select("reminder_id", F.unix_seconds("ts").alias("announced"))
+
+
 @query("x4_reminder_dialogue")
 def x4(spark, sf_dir):
     """M09 as a stream with a state per user."""

@@ -222,6 +222,18 @@ def p07(spark, sf_dir):
     return sg.cap_sessions(segments(spark, sf_dir), 36000, 20000)
 
 
+#: Each step finds the next cut of every session that is still too long.
+CUTS_SQL = SESSIONS_SQL.replace("WITH ", "WITH RECURSIVE ", 1).replace("36000", "200000") + """, cuts AS (SELECT recording_id, session, 0 AS piece, min("start") AS b, max("start") AS e FROM s GROUP BY ALL UNION ALL
+SELECT recording_id, session, piece + 1, coalesce(arg_min(st, {'d': abs(st - b - 300000), 's': st, 'i': segment_id}) FILTER (WHERE st - b BETWEEN 200000 AND 400000 AND level <= quietest + 0.5::DOUBLE), min(st) FILTER (WHERE st - b > 400000)), e
+FROM (SELECT c.*, s."start" AS st, segment_id, level, min(level) FILTER (WHERE s."start" - b BETWEEN 200000 AND 400000) OVER (PARTITION BY c.recording_id, c.session) AS quietest FROM cuts c JOIN s ON s.recording_id = c.recording_id AND s.session = c.session AND s."start" >= b WHERE e - b > 400000)
+GROUP BY recording_id, session, piece, b, e), placed AS (SELECT s.recording_id, s.session, segment_id, "start", max(piece) AS piece FROM s JOIN cuts c ON s.recording_id = c.recording_id AND s.session = c.session AND s."start" >= b GROUP BY ALL)"""
+
+
+@query("p07_quiet_cuts", CUTS_SQL + """ SELECT recording_id, session::BIGINT AS session, piece::BIGINT AS piece, min("start") AS "first", max("start") AS "last", count(*) AS segments, arg_min(segment_id, {'s': "start", 'i': segment_id}) AS first_id FROM placed GROUP BY ALL""")
+def p07_quiet(spark, sf_dir):
+    return sg.quiet_cuts(segments(spark, sf_dir), 200000, 400000)
+
+
 @query("p08_damp_outliers", P_SQL + f", m AS (SELECT recording_id, quantile_cont(level, 0.5) AS median FROM segments GROUP BY ALL) SELECT segment_id, {r6('CASE WHEN level > median + 12 THEN level - 10 ELSE level END')} AS level FROM segments JOIN m USING (recording_id)")
 def p08(spark, sf_dir):
     return sg.damp_outliers(segments(spark, sf_dir)).select("segment_id", rt.rounded(F.col("level")).alias("level"))
