@@ -1,12 +1,13 @@
 """Operator 5: quality rules with risk-controlled cutoffs.
 
-Each rule compares one figure of a text with a cutoff. The cutoff is chosen per
-stratum (language) from a fixed grid: the strictest one whose share of falsely
-rejected good documents is at most ``ALPHA / rules``, shown on labelled holdout
-documents by the exact binomial test. All tests of all strata together are wrong
-with probability ``DELTA`` at most (Bonferroni over all strata with labels, rules and grid points), and the
-rules together reject at most ``ALPHA`` of a stratum's good documents. Where the
-labels cannot show that much, a rule has no cutoff and rejects nothing.
+Each rule compares one figure of a text with a cutoff. For each stratum (language) a sequence of stages goes from loose to
+strict: at each stage every rule has its next stricter cutoff, so the documents that any rule rejects only become more. The stages
+are tested in this order on labelled holdout documents: the exact binomial test has to show that at most ``ALPHA`` of
+the good ones are rejected by all rules together. The last stage before the first that fails gives the cutoffs. Since the order is
+fixed beforehand and the first failure ends it, the number of stages costs nothing (fixed-sequence testing); ``DELTA``, the chance that
+any stratum is wrong, is split over the strata that have enough labels to show anything at all (Bonferroni; which they are
+follows from their sizes alone). Where the labels cannot show as much at the loosest stage, a stratum has no cutoffs and
+rejects nothing.
 
 Figures come from column expressions inside a row. Only their few numbers are written
 down, joined with labels and counted per stratum; each document meets its stratum's cutoffs by a join.
@@ -20,6 +21,7 @@ often they occur or are labelled, since the test takes its documents as independ
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +37,7 @@ MIN_WORDS, MAX_REPEAT = 20, 30
 ALPHA, DELTA = 0.02, 0.05
 #: Strata whose cutoffs may be broadcast.
 MOST_STRATA = 10_000
-#: Rule name, and cutoffs from strict to loose. All reject what is larger than the cutoff.
+#: Rule name, and cutoffs from strict to loose, one for each stage. All reject what is larger than the cutoff.
 RULES: dict[str, list[float]] = {
     "symbol_share": [0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2],
     "dup_line_share": [0.1, 0.2, 0.3, 0.4, 0.5, 0.7],
@@ -133,16 +135,26 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def cutoffs(holdout: DataFrame, rules: dict[str, list[float]] = RULES, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The strictest safe cutoff of each stratum and rule: ``stratum, rule, cutoff, n, k, bound``.
+    """The cutoffs of the strictest stage that is shown to be safe: ``stratum, rule, cutoff, n, k, bound``, none where no stage is.
 
-    ``holdout`` has good documents only, with ``stratum`` and the rules' figures.
+    ``holdout`` has good documents only, with ``stratum`` and the rules' figures; ``k`` of ``n`` are rejected by any rule at that stage.
     """
-    grid = [(r, c) for r, cs in rules.items() for c in cs]
-    counts = holdout.groupBy("stratum").agg(F.count("*").alias("n"), *[F.sum((F.col(r) > c).cast("long")).alias(f"k{i}") for i, (r, c) in enumerate(grid)])
-    rows = counts.select("stratum", "n", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"k{i}").alias("k")) for i, (r, c) in enumerate(grid)])).alias("x")).select("stratum", "n", "x.*")
-    tests = len(grid) * max(1, counts.count())
-    safe = rows.withColumn("bound", binomial_tail(F.col("k"), F.col("n"), alpha / len(rules))).where(F.col("bound") <= delta / tests)
-    return safe.groupBy("stratum", "rule").agg(F.min(F.struct("cutoff", "n", "k", "bound")).alias("x")).select("stratum", "rule", "x.*")
+    stages = [{r: cs[max(0, len(cs) - 1 - j)] for r, cs in rules.items()} for j in range(max(map(len, rules.values())))]
+
+    def any_rule(stage: dict[str, float]) -> Column:
+        return reduce(lambda a, b: a | b, [F.coalesce(F.col(r) > c, F.lit(False)) for r, c in stage.items()])
+
+    counts = holdout.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(any_rule(s)).alias(f"k{j}") for j, s in enumerate(stages)])
+    counts = stash(counts, "holdout")  # a row for each stratum
+    enough = lambda strata: math.log(delta / strata) / math.log1p(-alpha)  # noqa: E731  good documents that show it if none is rejected
+    tested = max(1, counts.where(F.col("n") >= enough(1)).count())  # no fewer than can pass at delta / tested
+    tried = F.array(*[F.struct(F.lit(j).alias("stage"), F.col(f"k{j}").alias("k"), binomial_tail(F.col(f"k{j}"), F.col("n"), alpha).alias("bound")) for j in range(len(stages))])
+    rows = counts.where(F.col("n") >= enough(tested)).select("stratum", "n", tried.alias("tried"))
+    failed = F.array_position(F.transform("tried", lambda x: x["bound"] > delta / tested), F.lit(True)).cast("int")  # from 1 on, 0 if none
+    last = F.when(failed == 0, F.lit(len(stages))).otherwise(failed - 1)
+    safe = rows.withColumn("last", last).where("last > 0").withColumn("x", F.get("tried", F.col("last") - 1))
+    chosen = F.explode(F.get(F.array(*[F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff")) for r, c in s.items()]) for s in stages]), F.col("x.stage")))
+    return safe.select("stratum", "n", "x.k", "x.bound", chosen.alias("c")).select("stratum", "c.rule", "c.cutoff", "n", "k", "bound")
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", key: str = "doc_id") -> DataFrame:

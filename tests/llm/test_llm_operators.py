@@ -1,6 +1,8 @@
 """Each operator against a brute-force version on awkward rows, and on an empty table."""
 
 import hashlib
+import math
+import os
 import random
 import re
 import struct
@@ -416,21 +418,34 @@ def test_quality_verdict_against_plain_rules(spark):
         if q and not got[i].base_failed and (lang, t) not in seen:
             seen.add((lang, t))
             strata.setdefault(lang, []).append(got[i])
-    grid = [(rule, c) for rule, cs in quality_rules.RULES.items() for c in cs]
-    p, bar = quality_rules.ALPHA / len(quality_rules.RULES), quality_rules.DELTA / (len(grid) * len(strata))
+    p, enough = quality_rules.ALPHA, lambda m: math.log(quality_rules.DELTA / m) / math.log(1 - quality_rules.ALPHA)
+    tested = sum(len(xs) >= enough(1) for xs in strata.values())
     limits = {}
     for lang, xs in strata.items():
         n = len(xs)
-        for rule, c in grid:
-            k = sum(x[rule] > c for x in xs)
+        for stage in range(7) if n >= enough(tested) else ():
+            now = {rule: cs[max(0, len(cs) - 1 - stage)] for rule, cs in quality_rules.RULES.items()}
+            k = sum(any(x[rule] > c for rule, c in now.items()) for x in xs)
             tail = 1.0 if k >= n * p else sum(comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1))
-            if tail <= bar:
-                limits[lang, rule] = min(c, limits.get((lang, rule), c))
+            if tail > quality_rules.DELTA / tested:
+                break
+            limits |= {(lang, rule): c for rule, c in now.items()}
     assert {x for x, _ in limits} == {"big"} and len(strata) > 50
     assert {i: x.kept for i, x in got.items()} == {i: not x.base_failed and not any(x[rule] > limits.get((lang, rule), 1e9) for rule in quality_rules.RULES) for i, _, lang, _ in rows for x in [got[i]]}
     assert not got[18].kept or not got[9].kept
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_quality_verdict_rejects_bad_texts_and_few_good_ones(spark):
+    """On the given tables: cutoffs from half of the labels reject most bad texts and 2 % of the other half's good ones at most."""
+    docs_, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    half = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    judged = quality_rules.judge(docs_, labels.where(half)).where("NOT base_failed").join(labels.where(~half), "doc_id")
+    rates = {(r.lang, r.quality): (r.n, r.rejected / r.n) for r in judged.groupBy("lang", "quality").agg(F.count("*").alias("n"), F.count_if(~F.col("kept")).alias("rejected")).collect()}
+    assert all(rate <= quality_rules.ALPHA for (_, quality), (_, rate) in rates.items() if quality == 1)
+    assert rates["en", 0][1] > 0.5 and sum(n * rate for (_, q), (n, rate) in rates.items() if q == 0) > 0.5 * sum(n for (_, q), (n, _) in rates.items() if q == 0)
+
+
 def test_quality_classifier_against_plain_sums(spark, awkward):
     """Evidence, priors, strengths and posteriors by plain loops."""
     import math
