@@ -5,7 +5,8 @@ n-gram join and decontamination only drop documents; the PII stage puts ``<kind>
 data; the last stage adds token ids.
 
 For all stages: an empty table gives an empty one, repeated rows are treated alike, texts of any length are read whole,
-and extra columns are carried along to the last stage, whatever their names.
+and extra columns are carried along to the last stage. Names that stages use themselves are not theirs to carry: a column
+``lang_pred``, ``lang_score`` or ``lang_rejected`` gets the stage's values, ``pii_*`` columns go, and names must have no dot.
 """
 
 from __future__ import annotations

@@ -86,11 +86,18 @@ def keyword_words(terms: DataFrame, words: DataFrame) -> DataFrame:
     return grams.join(fitting(wanted), "gram").where(F.contains("word", "term")).select("term", "word")
 
 
-def lexical_scores(queries: DataFrame, notes: DataFrame, body: str = "raw_transcript") -> DataFrame:
+def newest_notes(notes: DataFrame, most: int | None) -> DataFrame:
+    """The ``most`` newest notes, the smaller id first on a tie; all where that is None."""
+    return notes if most is None else notes.orderBy(F.desc("created_epoch"), "note_id").limit(most)
+
+
+def lexical_scores(queries: DataFrame, notes: DataFrame, body: str = "raw_transcript", newest: int | None = None) -> DataFrame:
     """Share of a query's keywords that occur in the note, inside words too; notes with none are left out.
 
-    Keywords have no blanks, so they are looked up in the dictionary of words, and notes are met by word.
+    Keywords have no blanks, so they are looked up in the dictionary of words, and notes are met by word. With ``newest`` only so many
+    notes are looked at, the newest ones, as a search within a fixed time does.
     """
+    notes = newest_notes(notes, newest)
     terms = queries.select("query_id", query_keywords(F.col("query")).alias("terms")).where(F.size("terms") > 0).select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
     words = notes.select("note_id", F.explode(F.array_distinct(text.match_tokens(F.col(body)))).alias("word"))
     hits = keyword_words(terms, words.select("word").distinct())
@@ -130,13 +137,13 @@ def best(fused: DataFrame, floor: float = FLOOR, k: int = TOP) -> DataFrame:
     return vec.top_k(fused.where(F.col("score") >= floor), "query_id", "note_id", k)
 
 
-def hybrid_search(queries: DataFrame, notes: DataFrame, body: str = "raw_transcript", k: int = TOP) -> DataFrame:
+def hybrid_search(queries: DataFrame, notes: DataFrame, body: str = "raw_transcript", k: int = TOP, newest: int | None = None) -> DataFrame:
     """``query_id, note_id, vector, lexical, score, matched_by, rank``.
 
     Vector matches without a shared keyword are hash collisions and drop out, so only the lexical
-    matches are scored; notes found by keyword alone stay.
+    matches are scored; notes found by keyword alone stay. Keywords are looked up in the ``newest`` notes, in all where that is None.
     """
-    lexical = cut_lineage(lexical_scores(queries, notes, body))  # read twice
+    lexical = cut_lineage(lexical_scores(queries, notes, body, newest))  # read twice
     return best(fuse(pair_scores(lexical, queries, notes, body), lexical), k=k)
 
 

@@ -174,6 +174,12 @@ def r08(spark, sf_dir):
     return rt.lexical_scores(questions(spark, sf_dir), notes(spark, sf_dir))
 
 
+@query("r08_newest_lexical", f"WITH {SEARCH_SQL} SELECT lexical.* FROM lexical JOIN (SELECT note_id FROM notes ORDER BY created_epoch DESC, note_id LIMIT 300) USING (note_id)")
+def r08_newest(spark, sf_dir):
+    """Keyword scores of the 300 newest notes, the limit of an interactive search."""
+    return rt.lexical_scores(questions(spark, sf_dir), notes(spark, sf_dir), newest=300)
+
+
 @query("r09_fuse_scores", f"WITH {SEARCH_SQL} SELECT * FROM fused")
 def r09(spark, sf_dir):
     q, n = questions(spark, sf_dir), notes(spark, sf_dir)
