@@ -15,7 +15,8 @@ sees the bins' counts and a few sums.
 
 Defined results: null or empty text has all figures 0; null hosts and paths are sites of their
 own; a document labelled more than once counts once per label; without labels of both kinds the evidence is
-0 and every document is as good as the prior of 0.5; extra columns are left out.
+0 and every document is as good as the prior of 0.5; extra columns are left out; an empty table gives an empty one; figures are
+shares, so a text of any length is one row of them; documents with equal figures on equal sites have equal results.
 """
 
 from __future__ import annotations

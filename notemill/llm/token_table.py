@@ -18,7 +18,8 @@ no task holds more than its range. A task writes under a name of its own attempt
 the manifest, written by Spark, names the files that count; files of lost attempts are
 never read. Keys are non-negative 64-bit integers; several rows may share one key and
 stay apart, in the order of their texts; a null key sorts first and is stored as null.
-Null and empty texts have no ids but the end mark.
+Null and empty texts have no ids but the end mark. An empty table gives no shards and reads back as no rows;
+other columns are not looked at; a negative key fails, since its bytes would not sort as the number does.
 """
 
 from __future__ import annotations
