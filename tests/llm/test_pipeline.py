@@ -11,7 +11,7 @@ from notemill.llm.registry import WORD_BPE, oracle_sql, queries, vocabulary_file
 
 
 def test_names():
-    assert [f"op{n}_" for n in range(1, 11)] == [re.match(r"op\d+_", n)[0] for n in queries() if n != "pipeline"]
+    assert [f"op{n}_" for n in range(1, 14)] == [re.match(r"op\d+_", n)[0] for n in queries() if n != "pipeline"]
     assert set(oracle_sql()) <= set(queries()) and len(corpus_pipeline.STAGES) == 5
 
 
