@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from notemill.functions import fixed
+from notemill.functions.text import as_re2
 
 # ---- fixed values: patterns in the order in which they are tried; group 1 is the slot ----
 PATTERNS = {
@@ -32,11 +33,12 @@ MOVE = r"(?i)^\s*(?:move|file|put)\s+(?:this(?:\s+note)?|it)?\s*(?:to|under|in)\
 
 
 def is_kind(kind: str, said: Column) -> Column:
-    hit = said.rlike(PATTERNS[kind])
+    pattern = as_re2(PATTERNS[kind])
+    hit = said.rlike(pattern)
     if kind == "navigate":
-        return hit & ~F.regexp_extract(said, PATTERNS[kind], 1).rlike(ABOUT)
+        return hit & ~F.regexp_extract(said, pattern, 1).rlike(as_re2(ABOUT))
     if kind == "read_aloud":
-        return hit & (F.btrim(F.regexp_extract(said, PATTERNS[kind], 1), F.lit(EDGE)) != "")
+        return hit & (F.btrim(F.regexp_extract(said, pattern, 1), F.lit(EDGE)) != "")
     return hit
 
 
@@ -52,29 +54,29 @@ def slot(said: Column, intent: Column) -> Column:
     out = F.when(intent == "ask", F.trim(said))
     for kind, pattern in PATTERNS.items():
         if kind not in NO_SLOT:
-            out = out.when(intent == kind, F.regexp_extract(F.trim(said), pattern, 1))
+            out = out.when(intent == kind, F.regexp_extract(F.trim(said), as_re2(pattern), 1))
     return F.coalesce(out, F.lit(""))
 
 
 def clean_query(said: Column) -> Column:
-    out = F.regexp_replace(F.trim(F.regexp_replace(said, TIME_WORDS, " ")), CARRIER, "")
-    out = F.btrim(F.regexp_replace(out, r"\s+", " "), F.lit(EDGE))
+    out = F.regexp_replace(F.trim(F.regexp_replace(said, as_re2(TIME_WORDS), " ")), as_re2(CARRIER), "")
+    out = F.btrim(F.regexp_replace(out, as_re2(r"\s+"), " "), F.lit(EDGE))
     for pattern in LEADING:
-        out = F.regexp_replace(out, pattern, "")
+        out = F.regexp_replace(out, as_re2(pattern), "")
     return F.btrim(out, F.lit(EDGE))
 
 
 def note_types(said: Column) -> Column:
     low = F.lower(F.coalesce(said, F.lit("")))
-    return F.array_distinct(F.array_compact(F.array(*[F.when(low.rlike(rf"\b{p}\b"), kind) for p, kind in fixed.TYPE_WORDS.items()])))
+    return F.array_distinct(F.array_compact(F.array(*[F.when(low.rlike(as_re2(rf"\b{p}\b")), kind) for p, kind in fixed.TYPE_WORDS.items()])))
 
 
 def time_phrase(said: Column) -> Column:
     low = F.lower(said)
     out = None
     for phrase, pattern in (("today", r"\btoday\b"), ("yesterday", r"\byesterday\b"), ("this week", r"\bthis\s+week\b"), ("last week", r"\blast\s+week\b"), ("this month", r"\bthis\s+month\b"), ("last month", r"\blast\s+month\b"), ("this year", r"\bthis\s+year\b")):
-        out = F.when(low.rlike(pattern), phrase) if out is None else out.when(low.rlike(pattern), phrase)
-    return out.when(low.rlike(RELATIVE), F.trim(F.regexp_extract(low, RELATIVE, 0))).when(low.rlike(r"\brecent(?:ly)?\b"), "recently").otherwise("")
+        out = F.when(low.rlike(as_re2(pattern)), phrase) if out is None else out.when(low.rlike(as_re2(pattern)), phrase)
+    return out.when(low.rlike(as_re2(RELATIVE)), F.trim(F.regexp_extract(low, as_re2(RELATIVE), 0))).when(low.rlike(as_re2(r"\brecent(?:ly)?\b")), "recently").otherwise("")
 
 
 def time_range(said: Column, now: Column) -> tuple[Column, Column]:
@@ -86,7 +88,7 @@ def time_range(said: Column, now: Column) -> tuple[Column, Column]:
     month = F.unix_timestamp(F.date_trunc("month", at))
     before_month = F.unix_timestamp(F.date_trunc("month", F.timestamp_seconds(month - 1)))
     year = F.unix_timestamp(F.date_trunc("year", at))
-    days = F.regexp_extract(low, RELATIVE, 1).try_cast("long") * F.when(F.regexp_extract(low, RELATIVE, 2) == "day", 1).when(F.regexp_extract(low, RELATIVE, 2) == "week", 7).otherwise(30)
+    days = F.regexp_extract(low, as_re2(RELATIVE), 1).try_cast("long") * F.when(F.regexp_extract(low, as_re2(RELATIVE), 2) == "day", 1).when(F.regexp_extract(low, as_re2(RELATIVE), 2) == "week", 7).otherwise(30)
     after = F.when(phrase == "today", today).when(phrase == "yesterday", today - 86400).when(phrase == "this week", week).when(phrase == "last week", week - 7 * 86400).when(phrase == "this month", month).when(phrase == "last month", before_month).when(phrase == "this year", year).when(phrase == "recently", now - 7 * 86400).when(phrase != "", now - days * 86400)
     before = F.when(phrase == "yesterday", today).when(phrase == "last week", week).when(phrase == "last month", month).when(phrase != "", now)
     return after.cast("long"), before.cast("long")
@@ -101,4 +103,4 @@ def window_hours(said: Column, now: Column, default: int = 24) -> Column:
 
 
 def move_target(said: Column) -> Column:
-    return F.nullif(F.regexp_extract(F.trim(said), MOVE, 1), F.lit(""))
+    return F.nullif(F.regexp_extract(F.trim(said), as_re2(MOVE), 1), F.lit(""))
