@@ -157,16 +157,13 @@ def r05(spark, sf_dir):
 @query("r06_collision_guard", f"WITH {SEARCH_SQL} SELECT query_id, count(*) AS n FROM guarded GROUP BY ALL")
 def r06(spark, sf_dir):
     q, n = questions(spark, sf_dir), notes(spark, sf_dir)
-    return rt.pair_scores(rt.lexical_scores(q, n), q, n).groupBy("query_id").agg(F.count("*").alias("n"))
+    return rt.pair_scores(q, n).where("vector IS NOT NULL").groupBy("query_id").agg(F.count("*").alias("n"))
 
 
 @query("r07_best_chunk_per_note")
 def r07(spark, sf_dir):
     """Best chunk of each note by keyword share."""
-    index = rt.chunk_index(notes(spark, sf_dir))
-    scored = rt.lexical_scores(questions(spark, sf_dir), index.select(F.col("chunk_id").alias("note_id"), "document"), "document").withColumnRenamed("note_id", "chunk_id")
-    best = scored.withColumn("note_id", F.substring_index("chunk_id", "::", 1).cast("long")).groupBy("query_id", "note_id").agg(F.max(F.struct("lexical", "chunk_id")).alias("x"))
-    return best.select("query_id", "note_id", "x.chunk_id", "x.lexical")
+    return rt.best_chunks(questions(spark, sf_dir), notes(spark, sf_dir))
 
 
 @query("r08_lexical_scores", f"WITH {SEARCH_SQL} SELECT * FROM lexical")
@@ -182,9 +179,7 @@ def r08_newest(spark, sf_dir):
 
 @query("r09_fuse_scores", f"WITH {SEARCH_SQL} SELECT * FROM fused")
 def r09(spark, sf_dir):
-    q, n = questions(spark, sf_dir), notes(spark, sf_dir)
-    lexical = rt.lexical_scores(q, n)
-    return rt.fuse(rt.pair_scores(lexical, q, n), lexical)
+    return rt.fuse(rt.pair_scores(questions(spark, sf_dir), notes(spark, sf_dir)))
 
 
 @query("r10_rank_and_floor", f"WITH {SEARCH_SQL} SELECT query_id, note_id, score, rank FROM found")
@@ -272,7 +267,7 @@ def a06(spark, sf_dir):
 
 @query("a07_when_prefix", f"WITH {SEARCH_SQL} SELECT query_id, 'You mentioned that on ' || strftime(make_timestamp(created_epoch * 1000000), '%A, %d %B') || '.' AS spoken FROM found JOIN notes USING (note_id) WHERE rank = 1")
 def a07(spark, sf_dir):
-    top = found(spark, sf_dir).where("rank = 1").join(notes(spark, sf_dir), "note_id")
+    top = notes(spark, sf_dir).join(rt.fitting(found(spark, sf_dir).where("rank = 1")), "note_id")
     return top.select("query_id", F.concat(F.lit("You mentioned that on "), F.date_format(F.timestamp_seconds("created_epoch"), "EEEE, dd MMMM"), F.lit(".")).alias("spoken"))
 
 
