@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from notemill.functions import fixed, text
 from notemill.functions.text import let
 from notemill.operators import tokens as tk
+from notemill.operators import within
 
 BANDS = [(0.75, "high quality: readable, clear and thematically consistent"), (0.55, "good quality"), (0.35, "mixed quality: some of this may be unclear or wandering")]
 LOWEST = "low quality: random or hard to follow, with little information"
@@ -68,13 +69,7 @@ def cohesion(body: Column) -> Column:
 
 def coherence(notes: DataFrame, body: str = "raw_transcript") -> DataFrame:
     """Mean cosine of neighbouring sentences by their words; 1 for one sentence, 0 for none."""
-    said = notes.select("note_id", F.posexplode(text.sentences(F.col(body))).alias("sent", "sentence"))
-    counts = said.select("note_id", "sent", F.explode(tk.token_list(F.col("sentence"))).alias("word")).groupBy("note_id", "sent", "word").agg(F.count("*").alias("n"))
-    cosines = tk.adjacent_similarity(counts)
-    found = cosines.groupBy("note_id").agg(F.sum("cosine").alias("total"))
-    sizes = notes.select("note_id", F.size(text.sentences(F.col(body))).alias("sentences"))
-    value = F.when(F.col("sentences") == 0, 0.0).when(F.col("sentences") == 1, 1.0).otherwise(F.coalesce("total", F.lit(0.0)) / (F.col("sentences") - 1))
-    return sizes.join(found, "note_id", "left").select("note_id", value.alias("coherence"))
+    return within.with_coherence(notes.select("note_id", within.said(F.col(body)).alias("said")))
 
 
 def quality(readability: Column, cohesion_: Column, coherence_: Column, entropy: Column) -> Column:
@@ -97,9 +92,8 @@ def describe(score: Column) -> Column:
 def score_notes(notes: DataFrame, body: str = "raw_transcript", confidence: str | None = None) -> DataFrame:
     """All metrics of each note, rounded to four places."""
     column = F.col(body)
-    own = notes.select("note_id", min_max(flesch(column), 0, 100).alias("readability"), cohesion(column).alias("cohesion"), F.size(text.words(column)).cast("long").alias("word_count"), F.size(text.sentences(column)).cast("long").alias("sentence_count"), F.least(F.greatest(F.col(confidence) if confidence else F.lit(1.0), F.lit(0.0)), F.lit(1.0)).alias("transcription_confidence"))
-    spread = tk.note_entropy(notes, body)
-    all_ = own.join(coherence(notes, body), "note_id").join(spread, "note_id", "left").withColumn("entropy", F.coalesce("entropy", F.lit(0.0)))
+    own = notes.select("note_id", min_max(flesch(column), 0, 100).alias("readability"), cohesion(column).alias("cohesion"), F.size(text.words(column)).cast("long").alias("word_count"), F.size(text.sentences(column)).cast("long").alias("sentence_count"), F.least(F.greatest(F.col(confidence) if confidence else F.lit(1.0), F.lit(0.0)), F.lit(1.0)).alias("transcription_confidence"), tk.word_number(column).alias("size"), within.said(column).alias("said"))
+    all_ = within.with_scores(own).withColumn("entropy", F.coalesce(F.bround("entropy", 4), F.lit(0.0)))
     four = [rounded(F.col(c)).alias(c) for c in ("readability", "cohesion", "coherence", "entropy", "transcription_confidence")]
     score = F.bround(quality(F.col("readability"), F.col("cohesion"), F.col("coherence"), F.col("entropy")), 4)
     return all_.select("note_id", *four, "word_count", "sentence_count", score.alias("quality_score"))

@@ -91,7 +91,7 @@ def n10(spark, sf_dir):
   UNION ALL SELECT note_id, word, CASE WHEN frequency = 1 THEN 0.3 ELSE frequency END FROM counts WHERE length(word) > 3)
 SELECT note_id, term, sum(score::DOUBLE) AS score FROM kept GROUP BY ALL""")
 def n11(spark, sf_dir):
-    return tk.candidate_terms(note_tokens(spark, sf_dir))
+    return tk.terms_of_notes(notes(spark, sf_dir))
 
 
 @query("n13_extract_themes")
