@@ -128,5 +128,4 @@ def n12(spark, sf_dir):
 
 @query("n19_sentence_features")
 def n19(spark, sf_dir):
-    base = notes(spark, sf_dir)
-    return md.sentence_features(md.sentence_table(base), md.sentence_ranks(base)).select("note_id", "sent", F.bround("feature", 6).alias("feature"))
+    return md.sentence_features(notes(spark, sf_dir)).select("note_id", "sent", F.bround("feature", 6).alias("feature"))
