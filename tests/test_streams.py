@@ -99,3 +99,12 @@ def test_open_questions_end_by_event_time(spark):
     got = {r.note_id: (r.question, r.due) for r in spark.read.parquet(out).collect()}
     assert got[1][0].startswith("Which date") and got[3][0] == "When is your meeting?" and 6 not in got
     assert spark.read.parquet(out).where(F.col("due").isNotNull()).count() == 0
+
+
+def test_arrivals_are_dealt_to_all_cores(spark):
+    """A batch that lies in one file, in one row group, would be worked on by one task."""
+    from notemill.plans.filing_plans import arrivals
+
+    seen = []
+    arrivals(spark, spark.range(1000).repartition(1), ["id % 2 = 0"])(lambda stream: jobs.run_once(stream, lambda df, i: seen.append(len(df.inputFiles()) if df.inputFiles() else df.rdd.getNumPartitions()), scratch(spark, "state")))
+    assert seen and min(seen) >= spark.sparkContext.defaultParallelism
