@@ -11,6 +11,7 @@ from pyspark.sql.types import StructField, StructType
 
 from notemill.functions import fixed
 from notemill.functions.text import any_of
+from notemill.operators.graphs import cut_lineage
 from notemill.operators.names import match_names
 
 DEADLINE_BONUS, NO_SPAN, GATE = 40.0, 10_000.0, 0.60
@@ -142,7 +143,8 @@ def pair_tasks(tasks: DataFrame, dates: DataFrame) -> DataFrame:
 
 def detect(tasks: DataFrame, dates: DataFrame, gate: float = GATE) -> DataFrame:
     """Tasks with their date, unpaired deadlines by themselves; ``accepted`` marks those over the gate."""
-    pairs = pair_tasks(tasks, dates)
+    tasks, dates = cut_lineage(tasks), cut_lineage(dates)  # read several times, and much smaller than the texts
+    pairs = cut_lineage(pair_tasks(tasks, dates))
     dated = pairs.join(dates.select("note_id", F.col("value").alias("date"), F.col("start").alias("date_start"), "normalized", F.col("confidence").alias("dc")), ["note_id", "date", "date_start"])
     both = tasks.select("note_id", F.col("value").alias("task"), F.col("confidence").alias("tc")).join(dated, ["note_id", "task"], "left")
     own = both.select("note_id", F.col("task").alias("title"), F.col("normalized").alias("due_date"), F.least("tc", F.coalesce("dc", "tc")).alias("confidence"))

@@ -7,6 +7,7 @@ from notemill.operators import graphs, library as lb
 from notemill.operators import models as md
 from notemill.operators import reminders as rm
 from notemill.operators import tokens as tk
+from notemill.operators.questions import dealt
 from notemill.plans.base import query
 from notemill.plans.retrieval_plans import r6, sparse_sql
 from notemill.sources.notes import NOTES_SQL, SPOKEN_SQL, notes, read, spoken_notes
@@ -114,8 +115,8 @@ def g09_sources(spark, sf_dir):
 @query("m03_create_reminders")
 def m03(spark, sf_dir):
     """Detected reminders that odd notes don't have yet."""
-    base = spoken_notes(spark, sf_dir)
-    found = rm.detect(en.tasks(base), en.dates(base))
+    base = dealt(spoken_notes(spark, sf_dir))
+    found = graphs.cut_lineage(rm.detect(en.tasks(base), en.dates(base)))  # read twice
     return rm.create(found, found.where("accepted AND note_id % 2 = 0")).select("note_id", "title", "due_date")
 
 

@@ -173,3 +173,14 @@ def test_cleaned_text_is_computed_once(spark):
 
     plan = spark.range(3).select(F.col("id").cast("string").alias("t")).select(text.ensure_terminal_punctuation(F.replace("t", F.lit("needle"), F.lit(""))).alias("out"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("needle") == 1
+
+
+def test_tasks_and_dates_are_found_once_for_reminders(spark):
+    """Before, a plan of detect() read the texts seven times, and create() read that twice."""
+    from notemill.operators import entities as en
+    from notemill.operators import reminders as rm
+
+    notes = spark.createDataFrame([(1, "I need to return the books by next Tuesday. Call Lena on May 9th.", 1704067200)], "note_id long, raw_transcript string, created_epoch long")
+    found = rm.detect(en.tasks(notes), en.dates(notes))
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString() and "raw_transcript" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() >= 2
