@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,9 +37,21 @@ LEADS = "also|then|next|finally|first|second|secondly|third|thirdly|lastly|addit
 TASK_CUE = rf"(?i:{'|'.join(TASK_CUES)})\s+([^\n]{{3,120}}?)(?=[.!?;]|$)"
 IMPERATIVE = rf"(?:^|[.!?]\s+|\band\s+)(?:(?i:{LEADS})\s*,?\s+)?((?i:{TASK_VERBS})\s+[^\n]{{3,120}}?)(?=[.!?;]|$)"
 NUMBER_WORDS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten".split())} | {"a": 1, "an": 1}
+KEY_HEADS = "key|the|about|regarding|idea|main|important|focus"
 KEY_CUES = r"(?i:key topic is|the topic is|about|regarding|idea is|main point is|important thing is|focus on)\s+([^\n]{3,60}?)(?=[.!?,;]|$)"
 
 
+def led(words: list[str] | str, pattern: str) -> str:
+    """A pattern whose matches start with one of ``words``: their first letters are looked at before anything else is tried."""
+    heads = {w[0] for w in (words.split("|") if isinstance(words, str) else words)}
+    return "(?=[" + "".join(sorted(heads | {c.upper() for c in heads})) + "])" + pattern
+
+
+#: The same matches as ``DATE`` and ``TIME``, which SQL shares: what all their forms begin with is asked once.
+DATE_AT = r"(?i)\b(?:" + DATE.removeprefix("(?i)").replace(r"(?:\b", "(?:") + ")"
+TIME_AT = rf"(?=\d)(?:{TIME})"
+
+
 def cue_scores(body: Column) -> Column:
     """Struct of the score and the hits of each note type; each phrase counts once."""
     low = F.lower(body)
@@ -79,9 +93,9 @@ def best_by_name(rows: DataFrame, kind: str) -> DataFrame:
 def people(notes: DataFrame, body: str = "raw_transcript") -> DataFrame:
     """Names after a title (.90), after a cue (.75), or capitalised inside a sentence (.45)."""
     text = F.col(body)
-    titled = exploded(notes, spans(text, rf"\b(?i:{TITLES})\.?\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)", 1)).select("*", F.lit(0.90).alias("confidence"), F.lit(0).alias("tier"))
-    cued = exploded(notes, spans(text, rf"\b(?i:{'|'.join(PERSON_CUES)})\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)", 1)).select("*", F.lit(0.75).alias("confidence"), F.lit(1).alias("tier"))
-    bare = exploded(notes, spans(text, r"(?<!^)(?<![.!?]\s)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?\b")).select("*", F.lit(0.45).alias("confidence"), F.lit(2).alias("tier"))
+    titled = exploded(notes, spans(text, r"\b" + led(TITLES, rf"(?i:{TITLES})\.?\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)"), 1)).select("*", F.lit(0.90).alias("confidence"), F.lit(0).alias("tier"))
+    cued = exploded(notes, spans(text, r"\b" + led(PERSON_CUES, rf"(?i:{'|'.join(PERSON_CUES)})\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)"), 1)).select("*", F.lit(0.75).alias("confidence"), F.lit(1).alias("tier"))
+    bare = exploded(notes, spans(text, r"(?=[A-Z])(?<!^)(?<![.!?]\s)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?\b")).select("*", F.lit(0.45).alias("confidence"), F.lit(2).alias("tier"))
     rows = titled.unionByName(cued).unionByName(bare)
     title = rf"^(?i:{TITLES})\.?\s+"
     rows = rows.withColumn("start", F.col("start") + F.length(F.regexp_extract("value", title, 0))).withColumn("value", F.regexp_replace("value", title, ""))
@@ -112,7 +126,7 @@ def iso_date(value: Column, epoch: Column) -> Column:
 
 def dates(notes: DataFrame, body: str = "raw_transcript", epoch: str = "created_epoch") -> DataFrame:
     """Date expressions; those with a due cue in the 30 characters before are deadlines."""
-    found = notes.select("note_id", F.col(body).alias("t"), F.col(epoch).alias("e"), F.explode(spans(F.col(body), DATE)).alias("x")).select("note_id", "t", "e", "x.*")
+    found = notes.select("note_id", F.col(body).alias("t"), F.col(epoch).alias("e"), F.explode(spans(F.col(body), DATE_AT)).alias("x")).select("note_id", "t", "e", "x.*")
     before = F.lower(F.substring("t", F.greatest(F.col("start") - 30, F.lit(0)) + 1, F.least(F.col("start"), F.lit(30))))
     cue = F.lit(False)
     for c in fixed.DEADLINE_CUES:
@@ -142,7 +156,7 @@ def time_is_ambiguous(value: Column) -> Column:
 
 
 def times(notes: DataFrame, body: str = "raw_transcript") -> DataFrame:
-    rows = exploded(notes, spans(F.col(body), TIME))
+    rows = exploded(notes, spans(F.col(body), TIME_AT))
     normal = clock(F.col("value"))
     return rows.select("note_id", F.lit("time").alias("kind"), F.trim("value").alias("value"), normal.alias("normalized"), F.when(normal.isNull(), 0.5).otherwise(0.85).alias("confidence"), "start", "end")
 
@@ -150,7 +164,7 @@ def times(notes: DataFrame, body: str = "raw_transcript") -> DataFrame:
 def tasks(notes: DataFrame, body: str = "raw_transcript") -> DataFrame:
     """Commitments after a cue (.85) or as a bare imperative (.60), at least two words."""
     text = F.col(body)
-    rows = exploded(notes, spans(text, TASK_CUE, 1)).select("*", F.lit(0.85).alias("confidence"), F.lit(0).alias("tier"))
+    rows = exploded(notes, spans(text, led(TASK_CUES, TASK_CUE), 1)).select("*", F.lit(0.85).alias("confidence"), F.lit(0).alias("tier"))
     rows = rows.unionByName(exploded(notes, spans(text, IMPERATIVE, 1)).select("*", F.lit(0.60).alias("confidence"), F.lit(1).alias("tier")))
     bare = F.regexp_replace(F.btrim(F.trim("value"), F.lit(" ,;:")), r"^(?i:to|that|the)\s+", "")
     rows = rows.withColumn("value", F.concat(F.upper(F.substring(bare, 1, 1)), F.substring(bare, 2, 2**31 - 1))).where(F.size(F.split("value", r"\s+")) >= 2)
@@ -160,9 +174,11 @@ def tasks(notes: DataFrame, body: str = "raw_transcript") -> DataFrame:
 def key_phrases(notes: DataFrame, body: str = "raw_transcript", limit: int = 10) -> DataFrame:
     """Phrases after a cue (.85) and runs of two or more content words."""
     text = F.col(body)
-    cued = exploded(notes, spans(text, KEY_CUES, 1)).select("*", F.lit(0.85).alias("confidence"), F.lit(0).alias("tier"))
-    word = rf"(?!(?i:{any_of(fixed.QUALITY_STOPWORDS)})(?![A-Za-z'-]))[A-Za-z'-]{{3,}}+"  # possessive: no recursion on long runs
-    runs = exploded(notes, spans(text, rf"(?<![A-Za-z'-]){word}(?:\s++{word})++")).select("*", (0.45 + 0.1 * F.least(F.size(F.split("value", r"\s+")), F.lit(3))).alias("confidence"), F.lit(1).alias("tier"))
+    cued = exploded(notes, spans(text, led(KEY_HEADS, KEY_CUES), 1)).select("*", F.lit(0.85).alias("confidence"), F.lit(0).alias("tier"))
+    by_head = {w[0]: [x[1:] for x in fixed.QUALITY_STOPWORDS if x[0] == w[0]] for w in fixed.QUALITY_STOPWORDS}
+    stop = "|".join(f"{re.escape(c)}(?:{any_of(rest)})" for c, rest in by_head.items())
+    word = rf"(?!(?i:{stop})(?![A-Za-z'-]))[A-Za-z'-]{{3,}}+"  # possessive: no recursion on long runs
+    runs = exploded(notes, spans(text, rf"(?=[A-Za-z'-])(?<![A-Za-z'-]){word}(?:\s++{word})++")).select("*", (0.45 + 0.1 * F.least(F.size(F.split("value", r"\s+")), F.lit(3))).alias("confidence"), F.lit(1).alias("tier"))
     rows = cued.unionByName(runs).withColumn("value", F.lower(F.btrim("value", F.lit(" ,.;:")))).withColumn("n", F.size(F.split("value", r"\s+"))).where("n BETWEEN 1 AND 4").drop("n")
     order = Window.partitionBy("note_id").orderBy(F.desc("confidence"), "start", "value")
     best = best_by_name(rows, "key_phrase")
