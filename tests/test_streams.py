@@ -108,3 +108,17 @@ def test_arrivals_are_dealt_to_all_cores(spark):
     seen = []
     arrivals(spark, spark.range(1000).repartition(1), ["id % 2 = 0"])(lambda stream: jobs.run_once(stream, lambda df, i: seen.append(len(df.inputFiles()) if df.inputFiles() else df.rdd.getNumPartitions()), scratch(spark, "state")))
     assert seen and min(seen) >= spark.sparkContext.defaultParallelism
+
+
+def test_texts_are_searched_once(spark):
+    """The kind of a note counts the entities that are stored; it doesn't find them again."""
+    plans = {}
+
+    def store(name, rows):
+        plans[name] = rows._jdf.queryExecution().optimizedPlan().toString()
+        path = scratch(spark, name)
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    capture.capture(spark.createDataFrame(FIRST, NOTES), spark.createDataFrame([], capture.TOPICS), store)
+    assert "Generate" in plans["entities"] and "Generate" not in plans["notes"]
